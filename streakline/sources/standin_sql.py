@@ -105,7 +105,7 @@ _FED = ", ".join(f"'{s}'" for s in S.FEDERATED_SEGMENTS)
 COMPETITIONS = f"""competitions AS (
   SELECT r_regionkey AS event_id, replace(lower(r_name), ' ', '-') AS slug, r_name AS title,
          CASE WHEN r_regionkey = {S.FROZEN_REGION} THEN 'frozen' ELSE 'active' END AS status,
-         CAST(NULL AS TIMESTAMP) AS scoring_frozen_at
+         CAST(NULL AS TIMESTAMP) AS scoring_frozen_at, {S.PACK_VERSION} AS pack_version_id
   FROM region)"""
 
 TEAMS = """teams AS (
@@ -129,7 +129,7 @@ QUESTS = """quests AS (
   FROM region)"""
 
 TASKS = f"""tasks AS (
-  SELECT s.s_suppkey AS task_id, n.n_regionkey AS quest_id,
+  SELECT s.s_suppkey AS task_id, {S.PACK_VERSION} AS pack_version_id, n.n_regionkey AS quest_id,
          concat('task-', CAST(s.s_suppkey AS VARCHAR)) AS task_slug, s.s_name AS task_title,
          CAST(round(s.s_acctbal / {S.POINTS_PER_ACCTBAL}) AS INTEGER) AS points,
          s.s_suppkey AS task_sort,

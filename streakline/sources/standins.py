@@ -79,6 +79,7 @@ ERROR_TAX = 0.0                                    # validator 2 errors at this
 NO_RESULT_QUANTITY = 50                            # attempts at this quantity have no results
 HINT_RETURNFLAG = "R"                              # hint reveals: flag R with zero discount
 POINTS_PER_ACCTBAL = 100                           # task points = round(s_acctbal / 100)
+PACK_VERSION = 1                                   # every competition plays the one pack version
 HINT_PENALTY_STEP = 5                              # penalty = -5 * (1 + s_nationkey // 5)
 
 
@@ -235,6 +236,7 @@ def competitions(t: Tables) -> DataFrame:
         F.col("r_name").alias("title"),
         F.when(F.col("r_regionkey") == FROZEN_REGION, F.lit("frozen")).otherwise(F.lit("active")).alias("status"),
         F.lit(None).cast("timestamp").alias("scoring_frozen_at"),
+        F.lit(PACK_VERSION).alias("pack_version_id"),
     )
 
 
@@ -285,6 +287,7 @@ def tasks(t: Tables) -> DataFrame:
     n = t.get("nation", ["n_nationkey", "n_regionkey"])
     return s.join(n, s.s_nationkey == n.n_nationkey).select(
         F.col("s_suppkey").alias("task_id"),
+        F.lit(PACK_VERSION).alias("pack_version_id"),
         F.col("n_regionkey").alias("quest_id"),
         F.concat(F.lit("task-"), F.col("s_suppkey").cast("string")).alias("task_slug"),
         F.col("s_name").alias("task_title"),
