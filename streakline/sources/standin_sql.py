@@ -167,3 +167,30 @@ EVENT_GAME = [COMPETITIONS, TEAMS, PARTICIPANTS, IDENTITY_MAP, QUESTS, TASKS, AT
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+CATALOG_QUESTS = f"""catalog_quests AS (
+  SELECT {S.PACK_VERSION} AS pack_version_id, r.r_regionkey AS quest_id, replace(lower(r.r_name), ' ', '-') AS quest_slug,
+         CASE WHEN n.r_regionkey IS NULL THEN replace(lower(r.r_name), ' ', '-')
+              ELSE replace(lower(p.r_name), ' ', '-') END AS unlock_quest_slug,
+         r.r_regionkey > 0 AS has_unlock_rule
+  FROM region r LEFT JOIN region p ON r.r_regionkey = p.r_regionkey + 1
+  LEFT JOIN region n ON n.r_regionkey = r.r_regionkey + 1)"""
+
+_STMT = (f"concat('SELECT count(*) FROM ${{team_schema}}.orders WHERE supplier = ', CAST(s_suppkey AS VARCHAR), "
+         f"CASE WHEN s_nationkey = {S.BAD_TEMPLATE_NATION} THEN ' AND day = ${{run_day}}' ELSE '' END)")
+
+CATALOG_VALIDATORS = f"""catalog_validators AS (
+  SELECT s_suppkey AS task_id, 1 AS validator_id, 'sql_assertion' AS type, 'sync' AS mode, '>=' AS operator,
+         {_STMT} AS statement FROM supplier
+  UNION ALL
+  SELECT s_suppkey, 2,
+         CASE WHEN s_acctbal < 0 THEN 'manual' WHEN s_acctbal > {S.UNKNOWN_TYPE_ABOVE} THEN 'custom_probe'
+              ELSE 'sql_assertion' END,
+         CASE WHEN s_acctbal BETWEEN {S.BAD_MODE_RANGE[0]} AND {S.BAD_MODE_RANGE[1]} THEN 'batch' ELSE 'async' END,
+         CASE WHEN s_acctbal BETWEEN {S.BAD_OPERATOR_RANGE[0]} AND {S.BAD_OPERATOR_RANGE[1]} THEN 'approx' ELSE 'contains' END,
+         {_STMT} FROM supplier)"""
+
+CATALOG_HINTS = f"""catalog_hints AS (
+  SELECT k.task_id, k.task_id AS hint_id,
+         CASE WHEN s.s_acctbal > {S.BONUS_HINT_ABOVE} THEN -k.hint_penalty ELSE k.hint_penalty END AS penalty_points
+  FROM tasks k JOIN supplier s ON k.task_id = s.s_suppkey)"""

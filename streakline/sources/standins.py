@@ -339,3 +339,56 @@ def hint_reveals(t: Tables) -> DataFrame:
     a = attempts(t).filter((F.col("l_returnflag") == HINT_RETURNFLAG) & (F.col("l_discount") == 0.0))
     return a.select("event_id", "team_id", "workspace_id", "user_id", "task_id",
                     F.col("task_id").alias("hint_id"), "created_at", F.col("attempt_id").alias("source_id"))
+
+
+# ----------------------------- pack catalog (lint input) --------------------
+# Validator stand-ins by supplier balance: negative → manual, above 9000 →
+# an unregistered type, 0..500 → an unknown operator, 5000..5100 → a bad mode,
+# nation 7 → an unknown template variable; hints above 9500 carry a bonus.
+UNKNOWN_TYPE_ABOVE = 9000
+BAD_OPERATOR_RANGE = (0, 500)
+BAD_MODE_RANGE = (5000, 5100)
+BAD_TEMPLATE_NATION = 7
+BONUS_HINT_ABOVE = 9500
+
+
+def catalog_quests(t: Tables) -> DataFrame:
+    """Quests with an unlock rule on the previous region (the last one gates on itself)."""
+    r = t.get("region", ["r_regionkey", "r_name"])
+    prev = r.select((F.col("r_regionkey") + 1).alias("_k"), F.col("r_name").alias("_prev_name"))
+    nxt = r.select((F.col("r_regionkey") - 1).alias("_k2"), F.lit(True).alias("_has_next"))
+    j = r.join(prev, r.r_regionkey == prev._k, "left").join(nxt, r.r_regionkey == nxt._k2, "left")
+    slug = F.regexp_replace(F.lower("r_name"), " ", "-")
+    unlock = (F.when(F.col("_has_next").isNull(), slug)
+              .otherwise(F.regexp_replace(F.lower("_prev_name"), " ", "-")))
+    return j.select(F.lit(PACK_VERSION).alias("pack_version_id"), F.col("r_regionkey").alias("quest_id"),
+                    slug.alias("quest_slug"), unlock.alias("unlock_quest_slug"),
+                    (F.col("r_regionkey") > 0).alias("has_unlock_rule"))
+
+
+def catalog_validators(t: Tables) -> DataFrame:
+    s = t.get("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
+    bal = F.col("s_acctbal")
+    stmt = F.concat(F.lit("SELECT count(*) FROM ${team_schema}.orders WHERE supplier = "),
+                    F.col("s_suppkey").cast("string"),
+                    F.when(F.col("s_nationkey") == BAD_TEMPLATE_NATION, F.lit(" AND day = ${run_day}"))
+                    .otherwise(F.lit("")))
+    v1 = s.select(F.col("s_suppkey").alias("task_id"), F.lit(1).alias("validator_id"),
+                  F.lit("sql_assertion").alias("type"), F.lit("sync").alias("mode"), F.lit(">=").alias("operator"),
+                  stmt.alias("statement"))
+    vtype = (F.when(bal < 0, F.lit("manual")).when(bal > UNKNOWN_TYPE_ABOVE, F.lit("custom_probe"))
+             .otherwise(F.lit("sql_assertion")))
+    mode = F.when(bal.between(*BAD_MODE_RANGE), F.lit("batch")).otherwise(F.lit("async"))
+    op = F.when(bal.between(*BAD_OPERATOR_RANGE), F.lit("approx")).otherwise(F.lit("contains"))
+    v2 = s.select(F.col("s_suppkey").alias("task_id"), F.lit(2).alias("validator_id"), vtype.alias("type"),
+                  mode.alias("mode"), op.alias("operator"), stmt.alias("statement"))
+    return v1.unionByName(v2)
+
+
+def catalog_hints(t: Tables) -> DataFrame:
+    k = tasks(t).select("task_id", "hint_penalty")
+    s = t.get("supplier", ["s_suppkey", "s_acctbal"])
+    j = k.join(s, k.task_id == s.s_suppkey)
+    return j.select("task_id", F.col("task_id").alias("hint_id"),
+                    F.when(F.col("s_acctbal") > BONUS_HINT_ABOVE, -F.col("hint_penalty"))
+                    .otherwise(F.col("hint_penalty")).alias("penalty_points"))
