@@ -137,7 +137,8 @@ TASKS = f"""tasks AS (
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
 
 ATTEMPTS = """attempts AS (
-  SELECT concat_ws('-', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR)) AS attempt_id,
+  SELECT concat_ws('-', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR), CAST(l.l_partkey AS VARCHAR),
+                   CAST(l.l_suppkey AS VARCHAR)) AS attempt_id,
          p.event_id,
          CASE WHEN p.workspace_id IS NULL THEN p.team_id END AS team_id,
          p.workspace_id, p.user_id, l.l_suppkey AS task_id,

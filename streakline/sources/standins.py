@@ -297,16 +297,21 @@ def tasks(t: Tables) -> DataFrame:
     )
 
 
+def attempt_id() -> Column:
+    """(order, line, part, supplier) is the unique key of a lineitem row."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ["l_orderkey", "l_linenumber", "l_partkey",
+                                                                  "l_suppkey"]])
+
+
 def attempts(t: Tables) -> DataFrame:
     """Task attempts: one per lineitem, submitted by the order's customer."""
-    li = t.get("lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_discount",
+    li = t.get("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount",
                             "l_tax", "l_returnflag", "l_shipdate"])
     o = t.get("orders", ["o_orderkey", "o_custkey"])
     p = participants(t).select("participant_id", "user_id", "event_id", "team_id", "workspace_id")
     a = li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("o_custkey") == p.participant_id)
     return a.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-         .alias("attempt_id"),
+        attempt_id().alias("attempt_id"),
         "event_id",
         F.when(F.col("workspace_id").isNull(), F.col("team_id")).alias("team_id"),
         "workspace_id",
