@@ -311,6 +311,12 @@ class ScoringRun:
         new_b = insert_absent(prev_n, notes.filter(is_badge), ["user_id", "mission_id", "notification_type"])
         return prev_n.unionByName(new_m).unionByName(new_b)
 
+    def final(self, name: str) -> DataFrame:
+        """One output as the run leaves it: swept of non-human principals."""
+        prop = {"mission_completions": "completions", "user_points_fact": "fact",
+                "user_profile_snapshot": "profile"}.get(name, name)
+        return getattr(self, prop).filter(human())
+
     def outputs(self) -> dict[str, DataFrame]:
         out = {"mission_completions": self.completions, "user_points_fact": self.fact,
                "user_profile_snapshot": self.profile, "leaderboard": self.leaderboard,

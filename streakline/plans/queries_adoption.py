@@ -113,12 +113,12 @@ def _run(spark, sf_dir) -> A.ScoringRun:
 
 @register("mission_completions", _with(*O.run_ctes()) + "SELECT * FROM completions")
 def q_completions(spark, sf_dir):
-    return _run(spark, sf_dir).completions
+    return _run(spark, sf_dir).final("mission_completions")
 
 
 @register("user_points_fact", _with(*O.run_ctes()) + "SELECT * FROM fact")
 def q_points_fact(spark, sf_dir):
-    return _run(spark, sf_dir).fact
+    return _run(spark, sf_dir).final("user_points_fact")
 
 
 @register("user_streaks", _with(*O.run_ctes()) + "SELECT * FROM streaks")
@@ -142,7 +142,7 @@ WHERE t.user_id LIKE '%@%'"""
 
 @register("user_profile_snapshot", _PROFILE_SQL)
 def q_profile(spark, sf_dir):
-    return _run(spark, sf_dir).profile
+    return _run(spark, sf_dir).final("user_profile_snapshot")
 
 
 _BOARD_SQL = _with(*O.run_ctes()) + f"""
@@ -158,12 +158,12 @@ FROM totals WHERE user_id LIKE '%@%'"""
 
 @register("leaderboard", _BOARD_SQL)
 def q_leaderboard(spark, sf_dir):
-    return _run(spark, sf_dir).leaderboard
+    return _run(spark, sf_dir).final("leaderboard")
 
 
 @register("badges", _with(*O.run_ctes()) + O.badges_sql())
 def q_badges(spark, sf_dir):
-    return _run(spark, sf_dir).badges
+    return _run(spark, sf_dir).final("badges")
 
 
 _NOTES_SQL = _with(*O.run_ctes(), f"badges AS ({O.badges_sql()})") + """
@@ -179,14 +179,14 @@ FROM badges"""
 
 @register("notifications", _NOTES_SQL)
 def q_notifications(spark, sf_dir):
-    return _run(spark, sf_dir).notifications
+    return _run(spark, sf_dir).final("notifications")
 
 
 @register("top10_leaderboard", _BOARD_SQL.replace("FROM totals WHERE user_id LIKE '%@%'",
                                                   "FROM totals WHERE user_id LIKE '%@%' ORDER BY all_time_rank LIMIT 10"))
 def q_top10(spark, sf_dir):
     """TK-1: top 10 by all-time rank (a top-k report: the limit is the feature)."""
-    b = _run(spark, sf_dir).leaderboard
+    b = _run(spark, sf_dir).final("leaderboard")
     return b.orderBy("all_time_rank").limit(10)
 
 
@@ -205,7 +205,7 @@ FROM (SELECT user_id, total_points,
 @register("level_progress", _PROGRESS_SQL)
 def q_level_progress(spark, sf_dir):
     """PR-4..6: tier, floor, ceiling, truncated and rounded progress."""
-    p = _run(spark, sf_dir).profile
+    p = _run(spark, sf_dir).final("user_profile_snapshot")
     tp = F.col("total_points")
     return p.select("user_id", "total_points", X.tier(tp).alias("level"), X.tier_floor(tp).alias("level_floor"),
                     X.tier_ceiling(tp).alias("level_ceiling"), X.tier_progress_pct(tp).alias("progress_pct"),
