@@ -70,4 +70,5 @@ def top_k_per_group(df: DataFrame, partition: list[str], order: list[Column | st
                     name: str = "rn") -> DataFrame:
     """Top-k per group; the ``rn <= k`` filter lets Spark plan a WindowGroupLimit."""
     w = Window.partitionBy(*partition).orderBy(*_sort_exprs(order))
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    top = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    return top.withColumn(name, F.col(name).cast("long"))

@@ -28,3 +28,4 @@ def load_all() -> None:
     from . import queries_event  # noqa: F401
     from . import queries_checks  # noqa: F401
     from . import queries_streaming  # noqa: F401
+    from . import queries_extra  # noqa: F401
