@@ -235,9 +235,9 @@ def job_creator(jobs: DataFrame, clock: Clock, run_ts: str) -> DataFrame:
     return _first_time(j, "job_creator", "change_time", run_ts)
 
 
-def scheduler(jobs: DataFrame, clock: Clock, run_ts: str) -> DataFrame:
+def scheduler(jobs: DataFrame, clock: Clock, run_ts: str, latest: DataFrame | None = None) -> DataFrame:
     """MI-5: latest version (within the look-back) is scheduled and not deleted."""
-    j = latest_jobs(jobs, clock.since())
+    j = latest if latest is not None else latest_jobs(jobs, clock.since())
     j = (j.filter(F.col("trigger_type").isin(*R.SCHEDULE_TRIGGERS) & F.col("delete_time").isNull()
                   & nonblank("creator_user_name"))
          .select(F.col("creator_user_name").alias("user_id"), "change_time"))
@@ -245,10 +245,10 @@ def scheduler(jobs: DataFrame, clock: Clock, run_ts: str) -> DataFrame:
 
 
 def multi_task_orchestrator(jobs: DataFrame, tasks: DataFrame, clock: Clock, run_ts: str,
-                            thresholds: R.Thresholds | None = None) -> DataFrame:
+                            thresholds: R.Thresholds | None = None, latest: DataFrame | None = None) -> DataFrame:
     """MI-25: >= k distinct task keys across a creator's latest, live jobs."""
     th = thresholds or R.Thresholds()
-    j = latest_jobs(jobs, clock.since()).filter(F.col("delete_time").isNull() & nonblank("creator_user_name"))
+    j = (latest if latest is not None else latest_jobs(jobs, clock.since())).filter(F.col("delete_time").isNull() & nonblank("creator_user_name"))
     t = tasks.select("workspace_id", "job_id", "task_key").distinct()
     g = (j.join(t, ["workspace_id", "job_id"])
          .groupBy(F.col("creator_user_name").alias("user_id"))
@@ -289,11 +289,11 @@ def auto_loader_pioneer(pipelines: DataFrame, usage: DataFrame, usage_clock: Clo
 
 def consistent_operator(job_runs: DataFrame, jobs: DataFrame, updates: DataFrame, clock: Clock,
                         run_ts: str, window_days: int = R.CONSISTENT_OPERATOR_WINDOW,
-                        thresholds: R.Thresholds | None = None) -> DataFrame:
+                        thresholds: R.Thresholds | None = None, latest_all: DataFrame | None = None) -> DataFrame:
     """MI-7: distinct run days (job runs of the latest job version ∪ pipeline updates) >= k."""
     th = thresholds or R.Thresholds()
     since = clock.since(window_days)
-    latest = latest_jobs(jobs).filter(nonblank("creator_user_name")) \
+    latest = (latest_all if latest_all is not None else latest_jobs(jobs)).filter(nonblank("creator_user_name")) \
         .select("workspace_id", "job_id", F.col("creator_user_name").alias("user_id"))
     runs = (job_runs.filter(F.col("result_state").isNotNull() & (F.col("period_start_time") >= since))
             .join(latest, ["workspace_id", "job_id"])

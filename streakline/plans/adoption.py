@@ -68,19 +68,22 @@ def detect_all(spark: SparkSession, logs: Logs, cfg: RunConfig, daily: DataFrame
     """Every detector of the run, unioned into ``mission_completions`` rows."""
     daily = daily if daily is not None else D.usage_daily(logs.usage, cfg.activity)
     ts, th, act, jobs = cfg.run_ts, cfg.thresholds, cfg.activity, cfg.jobs
+    # The job log's latest versions feed three detectors: pick them once.
+    latest_recent = D.latest_jobs(logs.jobs, jobs.since())
+    latest_all = D.latest_jobs(logs.jobs)
     parts = [
         D.first_steps(daily, act, ts),
         D.job_creator(logs.jobs, jobs, ts),
         D.pipeline_builder(logs.pipelines, jobs, ts),
         D.pipeline_runner(logs.pipeline_updates, jobs, ts),
-        D.scheduler(logs.jobs, jobs, ts),
+        D.scheduler(logs.jobs, jobs, ts, latest_recent),
         D.auto_loader_pioneer(logs.pipelines, logs.usage, act, ts),
         D.consistent_operator(logs.job_runs, logs.jobs, logs.pipeline_updates, jobs, ts,
-                              cfg.consistent_window, th),
+                              cfg.consistent_window, th, latest_all),
         D.query_weekly(logs.query_history, act, ts, th),
         D.audit_missions(logs.audit, R.audit_rules_df(spark, th), act, ts),
         D.assistant_user(logs.assistant, act, ts),
-        D.multi_task_orchestrator(logs.jobs, logs.job_tasks, jobs, ts, th),
+        D.multi_task_orchestrator(logs.jobs, logs.job_tasks, jobs, ts, th, latest_recent),
         D.ai_function_builder(logs.query_text, ts),
         D.product_monthly(daily, act, ts, th),
         D.daily_driver(daily, act, ts, th),
