@@ -258,3 +258,96 @@ def q_mission_progress(spark, sf_dir):
     """AG-22: per user and track."""
     from .. import rules as RR
     return XT.mission_progress(_run(spark, sf_dir).final("mission_completions"), RR.missions_df(spark))
+
+
+# ----------------------------- roster import (SC-7, UP-9) -------------------
+LAB_HOST_SUFFIX = ".lab.example.com"
+REAL_EMAIL_ABOVE = 5000.0
+NEW_TEAM_BELOW = 0.0
+BLANK_EMAIL_RANGE = (9000.0, 9100.0)
+
+
+def write_standin_roster(spark, sf_dir) -> str:
+    """Render the federated customers as a roster CSV (alias headers) in the shared folder."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources import standins as S
+    from ..sources.tables import Tables
+    t = Tables(spark, sf_dir)
+    c = t.get("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    n = t.get("nation", ["n_nationkey", "n_name", "n_regionkey"])
+    j = c.join(n, c.c_nationkey == n.n_nationkey).filter(F.col("c_mktsegment").isin(*S.FEDERATED_SEGMENTS))
+    bal = F.col("c_acctbal")
+    roster = j.select(
+        F.col("n_regionkey").cast("string").alias("event_id"),
+        F.concat(F.lower("c_mktsegment"), F.lit(LAB_HOST_SUFFIX)).alias("workspace_host"),
+        F.when(~bal.between(*BLANK_EMAIL_RANGE), S.principal("c_custkey")).alias("email"),
+        F.col("c_name").alias("name"),
+        F.when(bal > REAL_EMAIL_ABOVE, F.concat(F.lit("real"), F.col("c_custkey").cast("string"),
+                                                 F.lit("@corp.example.com"))).alias("real_email"),
+        F.when(bal < NEW_TEAM_BELOW, F.concat(F.col("n_name"), F.lit("-LAB"))).otherwise(F.col("n_name"))
+         .alias("team"))
+    path = shared_path(spark, "roster", uuid.uuid4().hex)
+    roster.write.option("header", True).mode("overwrite").csv(path)
+    return path
+
+
+_ROSTER_SQL = "WITH " + ",\n".join([Q.PARTICIPANTS, f"""roster AS (
+  SELECT n.n_regionkey AS event_id, lower(c.c_mktsegment) || '{LAB_HOST_SUFFIX}' AS workspace_id,
+         {Q.principal('c.c_custkey')} AS lab_user_email,
+         CASE WHEN c.c_acctbal > {REAL_EMAIL_ABOVE} THEN 'real' || CAST(c.c_custkey AS VARCHAR) || '@corp.example.com' END
+           AS real_email,
+         CASE WHEN c.c_acctbal < {NEW_TEAM_BELOW} THEN n.n_name || '-LAB' ELSE n.n_name END AS team_name
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  WHERE c.c_mktsegment IN ({', '.join(repr(s) for s in ('HOUSEHOLD', 'MACHINERY'))})
+    AND NOT (c.c_acctbal BETWEEN {BLANK_EMAIL_RANGE[0]} AND {BLANK_EMAIL_RANGE[1]}))"""]) + """
+SELECT r.event_id, CAST(r.n AS BIGINT) AS rows, CAST(coalesce(t.n, 0) AS BIGINT) AS teams_created,
+  CAST(coalesce(p.n, 0) AS BIGINT) AS participants_created, CAST(coalesce(m.n, 0) AS BIGINT) AS mappings
+FROM (SELECT event_id, count(*) AS n FROM roster GROUP BY 1) r
+LEFT JOIN (SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id, team_name FROM roster) x
+           WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = x.event_id AND n_name = x.team_name)
+           GROUP BY 1) t USING (event_id)
+LEFT JOIN (SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id, coalesce(real_email, lab_user_email) AS u
+           FROM roster) x WHERE NOT EXISTS (SELECT 1 FROM participants p WHERE p.workspace_id IS NULL
+           AND p.event_id = x.event_id AND p.user_id = x.u) GROUP BY 1) p USING (event_id)
+LEFT JOIN (SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id, workspace_id, lab_user_email FROM roster)
+           GROUP BY 1) m USING (event_id)"""
+
+
+@register("roster_import_summary", _ROSTER_SQL)
+def q_roster_import(spark, sf_dir):
+    """SC-7 / UP-9: a roster CSV (alias headers, blanks) imported idempotently; counts per event."""
+    from ..sources import roster as RO
+    from ..sources import standins as S
+    from ..sources.tables import Tables
+    t = Tables(spark, sf_dir)
+    roster = RO.read_roster(spark, write_standin_roster(spark, sf_dir))
+    teams = S.teams(t).withColumn("team_id", F.col("team_id").cast("string"))
+    parts = S.participants(t).filter(F.col("workspace_id").isNull()).select(
+        "event_id", "user_id", "display_name", "workspace_id", F.col("team_id").cast("string").alias("team_id"))
+    imap = S.identity_map(t).withColumn("team_id", F.col("team_id").cast("string"))
+    _, _, _, summary = RO.import_roster(roster, teams, parts, imap)
+    return summary
+
+
+@register("ev_report_csv_rows", _ev(_MATRIX_CTE.replace("n.team_name,", "n.team_name, coalesce(d.completed_count, 0) AS completed_count,"))
+          + """SELECT m.event_id, m.team_id, l.rank,
+  CASE WHEN substr(coalesce(m.team_name, ''), 1, 1) IN ('=', '+', '-', '@') THEN '''' || m.team_name
+       ELSE coalesce(m.team_name, '') END AS team,
+  CAST(coalesce(l.total_points, 0) AS BIGINT) AS total_points, m.completed_count, m.completion_pct,
+  CAST(coalesce(h.n, 0) AS BIGINT) AS hints_used
+FROM matrix m LEFT JOIN leaderboard l ON l.event_id = m.event_id AND l.team_id = m.team_id
+LEFT JOIN (SELECT event_id, team_id, count(*) AS n FROM ledger WHERE source_type = 'hint_penalty' GROUP BY 1, 2) h
+  ON h.event_id = m.event_id AND h.team_id = m.team_id""")
+def q_report_csv(spark, sf_dir):
+    """SK-4: the CSV export's rows."""
+    from .exports import report_csv_rows
+    return report_csv_rows(_g(spark, sf_dir))
+
+
+@register("ev_report_markdown_lines")
+def q_report_md(spark, sf_dir):
+    """SK-5: the Markdown export's lines (text rendering; rows-only check)."""
+    from .exports import report_markdown_lines
+    return report_markdown_lines(_g(spark, sf_dir))
