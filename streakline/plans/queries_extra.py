@@ -351,3 +351,50 @@ def q_report_md(spark, sf_dir):
     """SK-5: the Markdown export's lines (text rendering; rows-only check)."""
     from .exports import report_markdown_lines
     return report_markdown_lines(_g(spark, sf_dir))
+
+
+@register("ev_revealed_hints", _ev() + """SELECT DISTINCT l.event_id, l.team_id, l.source_id AS hint_id, l.task_id,
+  'Hint for ' || k.task_title AS body
+FROM ledger l JOIN tasks k ON k.task_id = l.task_id
+WHERE l.source_type = 'hint_penalty' AND l.team_id IS NOT NULL""")
+def q_revealed_hints(spark, sf_dir):
+    """CO-22: hint bodies are visible to a team only once revealed (charged)."""
+    g = _g(spark, sf_dir)
+    h = g.ledger.filter((F.col("source_type") == "hint_penalty") & F.col("team_id").isNotNull())
+    return h.join(g.tasks.select("task_id", "task_title"), "task_id").select(
+        "event_id", "team_id", F.col("source_id").alias("hint_id"), "task_id",
+        F.concat(F.lit("Hint for "), F.col("task_title")).alias("body")).distinct()
+
+
+ATTEMPT_PAGE = 100
+
+
+def clamp_limit(n: int | None) -> int:
+    """FI-11: page size 0/None → 100, else clamped to 1..500."""
+    return ATTEMPT_PAGE if not n else max(1, min(int(n), 500))
+
+
+@register("ev_latest_attempts", _ev() + f"""SELECT * FROM (SELECT a.attempt_id, a.event_id, a.team_id, a.task_id,
+  a.status, a.created_at, t.display_name AS team_name, k.task_title,
+  row_number() OVER (PARTITION BY a.event_id ORDER BY a.created_at DESC, a.attempt_id) AS position
+  FROM attempt_status a LEFT JOIN teams t ON t.team_id = a.team_id LEFT JOIN tasks k ON k.task_id = a.task_id
+  WHERE a.status IN ('failed', 'error')) WHERE position <= {ATTEMPT_PAGE}""")
+def q_latest_attempts(spark, sf_dir):
+    """FI-11 / TK-4: newest failed or errored attempts per event with names (a page: the limit is the feature)."""
+    from ..operators.ranking import top_k_per_group
+    g = _g(spark, sf_dir)
+    a = g.attempts.filter(F.col("status").isin("failed", "error")).select(
+        "attempt_id", "event_id", "team_id", "task_id", "status", "created_at")
+    a = a.join(g.teams.select("team_id", F.col("display_name").alias("team_name")), "team_id", "left") \
+        .join(g.tasks.select("task_id", "task_title"), "task_id", "left")
+    return top_k_per_group(a, ["event_id"], [F.col("created_at").desc(), F.col("attempt_id").asc()],
+                           clamp_limit(ATTEMPT_PAGE), "position")
+
+
+@register("pipeline_status", _run_with() + """SELECT max(scored_at) AS last_run, count(*) AS fact_rows,
+  count(*) > 0 AS healthy FROM fact""")
+def q_pipeline_status(spark, sf_dir):
+    """AG-19: last scoring run, points-fact size, healthy flag (one row)."""
+    f = _run(spark, sf_dir).final("user_points_fact")
+    return f.agg(F.max("scored_at").alias("last_run"), F.count(F.lit(1)).alias("fact_rows")) \
+        .withColumn("healthy", F.col("fact_rows") > 0)
