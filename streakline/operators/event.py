@@ -263,3 +263,29 @@ def participant_roster(participants: DataFrame, teams: DataFrame, attempts: Data
                     F.coalesce(X.first_nonblank("team_name"), F.lit("—")).alias("team_name"),
                     F.coalesce("tasks_passed", F.lit(0)).alias("tasks_passed"),
                     F.coalesce("attempts_total", F.lit(0)).alias("attempts_total"))
+
+
+def manual_adjustments(requests: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """UP-14: host point adjustments → (audit rows, ledger rows, rejected rows).
+
+    A request needs a reason, a non-zero delta and, when a team is named, a
+    team of that event (semi-join). Accepted requests become one audit row and
+    one ledger row keyed ``manual:{adjustment_id}`` so a replay adds nothing.
+    """
+    t = teams.select("event_id", "team_id").distinct()
+    reason_ok = F.coalesce(F.trim(F.col("reason")), F.lit("")) != ""
+    delta_ok = F.coalesce(F.col("points_delta"), F.lit(0)) != 0
+    base = requests.filter(reason_ok & delta_ok)
+    named = base.filter(F.col("team_id").isNotNull()).join(t, ["event_id", "team_id"], "left_semi")
+    ok = named.unionByName(base.filter(F.col("team_id").isNull()))
+    rejected = requests.join(ok.select("adjustment_id"), "adjustment_id", "left_anti").withColumn(
+        "rejection", F.when(~reason_ok, F.lit("reason required")).when(~delta_ok, F.lit("delta must be non-zero"))
+        .otherwise(F.lit("team not in event")))
+    audit = ok.select("adjustment_id", "event_id", "team_id", "user_id", "task_id", "points_delta", "reason",
+                      "created_by", "created_at")
+    ledger = ok.select(
+        "event_id", F.concat(F.lit("manual:"), F.col("adjustment_id")).alias("idempotency_key"), "team_id",
+        F.lit(None).cast("string").alias("workspace_id"), "user_id", "task_id", "points_delta",
+        F.lit("manual_adjustment").alias("source_type"), F.col("adjustment_id").alias("source_id"), "reason",
+        "created_at")
+    return audit, ledger, rejected

@@ -39,12 +39,24 @@ class Logs:
     pipeline_updates: DataFrame
 
 
+def _tolerant(build):
+    """SC-6: a source that cannot be read (missing path, no access) yields None, not a failed run."""
+    from pyspark.errors import AnalysisException
+    try:
+        return build()
+    except AnalysisException:
+        return None
+
+
 def standin_logs(t: Tables) -> Logs:
     return Logs(
-        usage=S.usage_log(t), audit=S.audit_log(t), query_history=S.query_history(t),
-        query_text=S.query_history(t, with_text=True), assistant=S.assistant_events(t),
-        jobs=S.jobs_log(t), job_tasks=S.job_tasks(t), job_runs=S.job_runs(t),
-        pipelines=S.pipelines_log(t), pipeline_updates=S.pipeline_updates(t),
+        usage=_tolerant(lambda: S.usage_log(t)), audit=_tolerant(lambda: S.audit_log(t)),
+        query_history=_tolerant(lambda: S.query_history(t)),
+        query_text=_tolerant(lambda: S.query_history(t, with_text=True)),
+        assistant=_tolerant(lambda: S.assistant_events(t)),
+        jobs=_tolerant(lambda: S.jobs_log(t)), job_tasks=_tolerant(lambda: S.job_tasks(t)),
+        job_runs=_tolerant(lambda: S.job_runs(t)), pipelines=_tolerant(lambda: S.pipelines_log(t)),
+        pipeline_updates=_tolerant(lambda: S.pipeline_updates(t)),
     )
 
 
@@ -64,30 +76,62 @@ def human(col="user_id"):
 
 # ----------------------------- detection ------------------------------------
 
-def detect_all(spark: SparkSession, logs: Logs, cfg: RunConfig, daily: DataFrame | None = None) -> DataFrame:
-    """Every detector of the run, unioned into ``mission_completions`` rows."""
-    daily = daily if daily is not None else D.usage_daily(logs.usage, cfg.activity)
+def detector_plan(spark: SparkSession, logs: Logs, cfg: RunConfig, daily: DataFrame | None = None):
+    """Every detector as (rule, sources it reads, builder)."""
     ts, th, act, jobs = cfg.run_ts, cfg.thresholds, cfg.activity, cfg.jobs
-    # The job log's latest versions feed three detectors: pick them once.
-    latest_recent = D.latest_jobs(logs.jobs, jobs.since())
-    latest_all = D.latest_jobs(logs.jobs)
-    parts = [
-        D.first_steps(daily, act, ts),
-        D.job_creator(logs.jobs, jobs, ts),
-        D.pipeline_builder(logs.pipelines, jobs, ts),
-        D.pipeline_runner(logs.pipeline_updates, jobs, ts),
-        D.scheduler(logs.jobs, jobs, ts, latest_recent),
-        D.auto_loader_pioneer(logs.pipelines, logs.usage, act, ts),
-        D.consistent_operator(logs.job_runs, logs.jobs, logs.pipeline_updates, jobs, ts,
-                              cfg.consistent_window, th, latest_all),
-        D.query_weekly(logs.query_history, act, ts, th),
-        D.audit_missions(logs.audit, R.audit_rules_df(spark, th), act, ts),
-        D.assistant_user(logs.assistant, act, ts),
-        D.multi_task_orchestrator(logs.jobs, logs.job_tasks, jobs, ts, th, latest_recent),
-        D.ai_function_builder(logs.query_text, ts),
-        D.product_monthly(daily, act, ts, th),
-        D.daily_driver(daily, act, ts, th),
+
+    def latest_recent():
+        return D.latest_jobs(logs.jobs, jobs.since())
+
+    shared = {}
+
+    def once(key, fn):
+        # The job log's latest versions feed three detectors: pick them once.
+        if key not in shared:
+            shared[key] = fn()
+        return shared[key]
+
+    return [
+        ("first_steps", ["usage"], lambda: D.first_steps(daily, act, ts)),
+        ("job_creator", ["jobs"], lambda: D.job_creator(logs.jobs, jobs, ts)),
+        ("pipeline_builder", ["pipelines"], lambda: D.pipeline_builder(logs.pipelines, jobs, ts)),
+        ("pipeline_runner", ["pipeline_updates"], lambda: D.pipeline_runner(logs.pipeline_updates, jobs, ts)),
+        ("scheduler", ["jobs"], lambda: D.scheduler(logs.jobs, jobs, ts, once("recent", latest_recent))),
+        ("auto_loader_pioneer", ["pipelines", "usage"],
+         lambda: D.auto_loader_pioneer(logs.pipelines, logs.usage, act, ts)),
+        ("consistent_operator", ["job_runs", "jobs", "pipeline_updates"],
+         lambda: D.consistent_operator(logs.job_runs, logs.jobs, logs.pipeline_updates, jobs, ts,
+                                       cfg.consistent_window, th, once("all", lambda: D.latest_jobs(logs.jobs)))),
+        ("query_weekly", ["query_history"], lambda: D.query_weekly(logs.query_history, act, ts, th)),
+        ("audit_missions", ["audit"], lambda: D.audit_missions(logs.audit, R.audit_rules_df(spark, th), act, ts)),
+        ("genie_code_user", ["assistant"], lambda: D.assistant_user(logs.assistant, act, ts)),
+        ("multi_task_orchestrator", ["jobs", "job_tasks"],
+         lambda: D.multi_task_orchestrator(logs.jobs, logs.job_tasks, jobs, ts, th, once("recent", latest_recent))),
+        ("ai_function_builder", ["query_text"], lambda: D.ai_function_builder(logs.query_text, ts)),
+        ("product_monthly", ["usage"], lambda: D.product_monthly(daily, act, ts, th)),
+        ("daily_driver", ["usage"], lambda: D.daily_driver(daily, act, ts, th)),
     ]
+
+
+def detect_all(spark: SparkSession, logs: Logs, cfg: RunConfig, daily: DataFrame | None = None,
+               skipped: list | None = None) -> DataFrame:
+    """Every detector whose sources are readable, unioned into ``mission_completions`` rows.
+
+    A rule whose source is missing is left out and reported in ``skipped``
+    as (rule, missing sources); the run continues (SC-6).
+    """
+    if daily is None and logs.usage is not None:
+        daily = D.usage_daily(logs.usage, cfg.activity)
+    parts = []
+    for rule, needs, build in detector_plan(spark, logs, cfg, daily):
+        missing = [n for n in needs if getattr(logs, n) is None]
+        if missing:
+            if skipped is not None:
+                skipped.append((rule, ",".join(missing)))
+            continue
+        parts.append(build())
+    if not parts:
+        return schemas.empty(spark, "mission_completions")
     return D._union(parts)
 
 
@@ -246,8 +290,18 @@ class ScoringRun:
 
     @cached_property
     def daily(self) -> DataFrame:
+        if self.logs.usage is None:
+            return self.spark.createDataFrame([], "user_id string, usage_date date, billing_origin_product string, "
+                                                  "pos_qty decimal(28,2), pos_rows long, all_rows long")
         return materialize(D.usage_daily(self.logs.usage, self.cfg.activity))
 
+    @cached_property
+    def skipped_rules(self) -> DataFrame:
+        """SC-6: (rule, missing sources) for every detector left out of this run."""
+        skipped: list = []
+        detect_all(self.spark, self.logs, self.cfg, self.daily, skipped)
+        return self.spark.createDataFrame(skipped, "rule string, missing_sources string")
+
     @cached_property
     def completions_all(self) -> DataFrame:
         prev = self.prev["mission_completions"]

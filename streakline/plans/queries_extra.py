@@ -398,3 +398,14 @@ def q_pipeline_status(spark, sf_dir):
     f = _run(spark, sf_dir).final("user_points_fact")
     return f.agg(F.max("scored_at").alias("last_run"), F.count(F.lit(1)).alias("fact_rows")) \
         .withColumn("healthy", F.col("fact_rows") > 0)
+
+
+@register("pack_version_digest")
+def q_pack_digest(spark, sf_dir):
+    """UP-13 / AG-30 / AG-31: content digest and counts of each pack version (rows-only check)."""
+    from ..operators import catalog as C
+    from ..sources import standins as S
+    from ..sources.tables import Tables
+    t = Tables(spark, sf_dir)
+    tasks = S.tasks(t).select("pack_version_id", "quest_id", "task_id", "task_slug", "points")
+    return C.version_digest(S.catalog_quests(t), tasks, S.catalog_validators(t), S.catalog_hints(t))
