@@ -409,3 +409,56 @@ def q_pack_digest(spark, sf_dir):
     t = Tables(spark, sf_dir)
     tasks = S.tasks(t).select("pack_version_id", "quest_id", "task_id", "task_slug", "points")
     return C.version_digest(S.catalog_quests(t), tasks, S.catalog_validators(t), S.catalog_hints(t))
+
+
+@register("ev_event_flags", _ev() + f"""SELECT event_id, slug, status,
+  (status IN ('frozen', 'completed', 'archived') OR scoring_frozen_at IS NOT NULL) AS scoring_frozen,
+  status IN ('active') AS attempts_open, status IN ('ready', 'active', 'paused') AS joinable,
+  status IN ('active', 'paused', 'frozen') AS visible,
+  (SELECT count(*) FROM teams t WHERE t.event_id = c.event_id) AS team_count
+FROM competitions c""")
+def q_event_flags(spark, sf_dir):
+    """FI-12 / FI-15 / FI-16 / JO-15: event predicates and the per-event team count (decorrelated)."""
+    g = _g(spark, sf_dir)
+    from ..operators import event as EV
+    c = g.competitions
+    counts = g.teams.groupBy("event_id").agg(F.count(F.lit(1)).alias("team_count"))
+    return c.join(counts, "event_id", "left").select(
+        "event_id", "slug", "status", EV.frozen(c).alias("scoring_frozen"),
+        F.col("status").isin(*EV.OPEN_STATES).alias("attempts_open"),
+        F.col("status").isin(*EV.JOINABLE_STATES).alias("joinable"),
+        F.col("status").isin(*EV.VISIBLE_STATES).alias("visible"),
+        F.coalesce("team_count", F.lit(0)).alias("team_count"))
+
+
+@register("ev_quest_unlocks", _ev(Q.CATALOG_QUESTS) + """SELECT p.event_id, p.team_id, q.quest_id, q.unlock_quest_slug,
+  (q.unlock_quest_slug IS NULL OR coalesce(pre.complete, false)) AS unlocked
+FROM (SELECT DISTINCT p.event_id, p.team_id, k.quest_id FROM pairs p JOIN tasks k USING (task_id)) p
+JOIN catalog_quests q ON q.quest_id = p.quest_id
+LEFT JOIN catalog_quests pq ON pq.quest_slug = q.unlock_quest_slug AND pq.pack_version_id = q.pack_version_id
+LEFT JOIN (SELECT d.event_id, d.team_id, d.quest_id, d.completed = z.task_count AS complete
+           FROM (SELECT p.event_id, p.team_id, k.pack_version_id, k.quest_id, count(*) AS completed
+                 FROM pairs p JOIN tasks k USING (task_id) GROUP BY 1, 2, 3, 4) d
+           JOIN (SELECT pack_version_id, quest_id, count(*) AS task_count FROM tasks GROUP BY 1, 2) z
+             USING (pack_version_id, quest_id)) pre
+  ON pre.event_id = p.event_id AND pre.team_id = p.team_id AND pre.quest_id = pq.quest_id""")
+def q_quest_unlocks(spark, sf_dir):
+    """CO-24: a quest gated on another is unlocked once the team completed the prerequisite.
+
+    Evaluated for the (team, quest) pairs a team is active in — joins only,
+    no team × quest product.
+    """
+    from ..sources import standins as S
+    g = _g(spark, sf_dir)
+    quests = S.catalog_quests(g.t)
+    prog = XT.quest_progress(g).select("event_id", "team_id", "quest_id", "complete")
+    active = g.pairs.join(g.tasks.select("task_id", "quest_id"), "task_id").select(
+        "event_id", "team_id", "quest_id").distinct()
+    q = active.join(quests.select("quest_id", "pack_version_id", "unlock_quest_slug"), "quest_id")
+    pre_id = quests.select("pack_version_id", F.col("quest_slug").alias("unlock_quest_slug"),
+                           F.col("quest_id").alias("_pre"))
+    q = q.join(pre_id, ["pack_version_id", "unlock_quest_slug"], "left")
+    pre = prog.select("event_id", "team_id", F.col("quest_id").alias("_pre"), F.col("complete").alias("_done"))
+    q = q.join(pre, ["event_id", "team_id", "_pre"], "left")
+    return q.select("event_id", "team_id", "quest_id", "unlock_quest_slug",
+                    (F.col("unlock_quest_slug").isNull() | F.coalesce("_done", F.lit(False))).alias("unlocked"))
