@@ -42,3 +42,15 @@ def q_st_totals(spark, sf_dir):
     t = L.team_totals_stream(spark, path)
     return t.select("event_id", "team_id", F.col("total_points").cast("long").alias("total_points"),
                     "scoring_events")
+
+
+@register("st_activity_sessions", """WITH e AS (SELECT concat('user', CAST(user_id AS VARCHAR),
+    CASE WHEN user_id % 10 = 0 THEN '' ELSE '@example.com' END) AS user_id, CAST(ts AS TIMESTAMP) AS ts FROM events),
+l AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+        OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 DAY THEN 1 ELSE 0 END AS new_s FROM e),
+s AS (SELECT *, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM l)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 DAY AS session_end, count(*) AS events
+FROM s GROUP BY user_id, sid""")
+def q_st_sessions(spark, sf_dir):
+    """ST-5: activity sessions with a one-day gap (session windows)."""
+    return L.activity_sessions_stream(spark, sf_dir)

@@ -186,3 +186,27 @@ def team_totals_stream(spark: SparkSession, ledger_path: str) -> DataFrame:
     cur = read_latest(spark, out, ["event_id", "team_id"])
     return partition_rank(cur, ["event_id"], [F.col("total_points").desc(), F.col("last_scored_at").asc_nulls_last()],
                           "rank")
+
+
+# ----------------------------- ST-5 -----------------------------------------
+
+def activity_sessions_stream(spark: SparkSession, sf_dir: str, gap: str = "1 day") -> DataFrame:
+    """ST-5: per-user activity sessions (events closer than ``gap`` merge) via session windows.
+
+    The batch streak job stays the source of truth for day streaks; this is
+    the live approximation the dashboard can poll.
+    """
+    out, ckpt = _new_dir(spark, "sessions", "out"), _new_dir(spark, "sessions", "ckpt")
+    ev = stream_table(spark, sf_dir, "events").select(S.principal("user_id").alias("user_id"),
+                                                      F.col("ts").cast("timestamp").alias("ts"))
+    agg = (ev.withWatermark("ts", gap)
+           .groupBy("user_id", F.session_window("ts", gap).alias("s"))
+           .agg(F.count(F.lit(1)).alias("events"))
+           .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))
+    # Session windows support append (closed sessions only) or complete; the
+    # catch-up run uses complete so sessions still open at the end are included,
+    # and each batch overwrites the table with the full current state.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+    run_available_now(agg, "sessions", "complete", write, ckpt)
+    return spark.read.parquet(out)
