@@ -124,3 +124,26 @@ def team_log_assertion(log: DataFrame, members: DataFrame, since: str, min_rows:
     n = F.coalesce(F.col("row_count"), F.lit(0))
     return j.select("event_id", "team_id", n.alias("row_count"),
                     F.when(n >= min_rows, F.lit("passed")).otherwise(F.lit("failed")).alias("status"))
+
+
+# Evidence limits.
+EVIDENCE_ROWS = 5
+EVIDENCE_CELL_CHARS = 200
+EVIDENCE_TOTAL_CHARS = 2000
+
+
+def evidence(df: DataFrame, violating=None) -> DataFrame:
+    """DQ-8: up to 5 sample rows (optionally only violating ones), cells cut to 200 chars,
+    rows kept while the running size stays within 2000 chars.
+
+    The sample is a top-k (``limit``), the cap a window over those ≤5 rows.
+    """
+    from pyspark.sql import Window
+    d = df.filter(violating) if violating is not None else df
+    cols = d.columns
+    cut = d.limit(EVIDENCE_ROWS).select(*[F.substring(F.col(c).cast("string"), 1, EVIDENCE_CELL_CHARS).alias(c)
+                                          for c in cols])
+    size = sum((F.lit(len(c)) + F.coalesce(F.length(F.col(c)), F.lit(4))) for c in cols)
+    w = Window.orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn("_size", size).withColumn("_run", F.sum("_size").over(w)) \
+        .filter(F.col("_run") <= EVIDENCE_TOTAL_CHARS).drop("_size", "_run")

@@ -103,3 +103,10 @@ def test_expectations_truth_table(spark):
                    "eq_num_f": "failed", "ne": "passed", "eq_str": "passed", "eq_str_f": "failed",
                    "contains": "passed", "unknown": "error", "ge_text": "error", "default": "passed",
                    "min_rows": "failed", "is_true": "passed", "is_false": "passed"}
+
+
+def test_evidence_is_capped(spark):
+    df = spark.createDataFrame([(i, "x" * 500) for i in range(20)], "id int, txt string")
+    ev = A.evidence(df, F.col("id") >= 0).collect()
+    assert len(ev) <= 5 and all(len(r.txt) == 200 for r in ev)
+    assert sum(len("id") + len(r.id) + len("txt") + len(r.txt) for r in ev) <= 2000
