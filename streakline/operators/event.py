@@ -192,11 +192,12 @@ def team_names(teams: DataFrame) -> DataFrame:
 
 
 def completion_matrix(teams: DataFrame, tasks: DataFrame, competitions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """CO-15: per team, catalog tasks completed (sorted list), count, total, pct (1 dp, half-even).
+    """CO-15: per team, catalog tasks completed, catalog size, pct (1 dp, half-even).
 
-    Built from joins on the event's pack version — no team × task product:
-    completed tasks are the team's pairs semi-joined to the catalog; the
-    total is the catalog size of the pack.
+    Built from joins on the event's pack version — no team × task product.
+    The per-team list of completed tasks is the (team, task) pairs frame
+    itself (``completion_pairs``); it is not gathered into one cell, so a
+    catalog of any size never lands in one group.
     """
     tv = team_names(teams).join(competitions.select("event_id", "pack_version_id"), "event_id")
     catalog = tasks.select("pack_version_id", "task_id")
@@ -204,14 +205,13 @@ def completion_matrix(teams: DataFrame, tasks: DataFrame, competitions: DataFram
     done = (pairs.join(competitions.select("event_id", "pack_version_id"), "event_id")
             .join(catalog, ["pack_version_id", "task_id"], "left_semi")
             .groupBy("event_id", "team_id")
-            .agg(F.array_join(F.array_sort(F.collect_set("task_id")), ",").alias("completed"),
-                 F.count(F.lit(1)).alias("completed_count")))
+            .agg(F.count(F.lit(1)).alias("completed_count")))
     m = tv.join(sizes, "pack_version_id", "left").join(done, ["event_id", "team_id"], "left")
     total = F.coalesce(F.col("total_tasks"), F.lit(0))
     cnt = F.coalesce(F.col("completed_count"), F.lit(0))
     pct = F.when(total > 0, F.bround(F.lit(100.0) * cnt / total, 1)).otherwise(F.lit(0.0))
-    return m.select("event_id", "team_id", "team_name", F.coalesce("completed", F.lit("")).alias("completed"),
-                    cnt.alias("completed_count"), total.alias("total_tasks"), pct.alias("completion_pct"))
+    return m.select("event_id", "team_id", "team_name", cnt.alias("completed_count"), total.alias("total_tasks"),
+                    pct.alias("completion_pct"))
 
 
 def blockers(teams: DataFrame, tasks: DataFrame, quests: DataFrame, competitions: DataFrame,

@@ -72,7 +72,7 @@ def frozen_leaderboard(g) -> DataFrame:
     """CO-25: the leaderboard as of each event's freeze moment (manual adjustments always count)."""
     cut = g.competitions.select("event_id", F.coalesce("scoring_frozen_at", F.to_timestamp(F.lit(FREEZE_DEFAULT)))
                                 .alias("_cut"))
-    led = g.ledger.join(F.broadcast(cut), "event_id").filter(
+    led = g.ledger.join(cut, "event_id").filter(
         (F.col("created_at") <= F.col("_cut")) | (F.col("source_type") == "manual_adjustment")).drop("_cut")
     return E.event_leaderboard(E.team_scores(led, g.identity_map), g.teams)
 

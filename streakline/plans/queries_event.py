@@ -181,14 +181,13 @@ def q_champions(spark, sf_dir):
 
 
 @register("ev_completion_matrix", _with() + """SELECT n.event_id, n.team_id, n.team_name,
-  coalesce(d.completed, '') AS completed, coalesce(d.completed_count, 0) AS completed_count,
+  coalesce(d.completed_count, 0) AS completed_count,
   coalesce(z.total_tasks, 0) AS total_tasks,
   CASE WHEN coalesce(z.total_tasks, 0) > 0 THEN round_even(100.0 * coalesce(d.completed_count, 0) / z.total_tasks, 1)
        ELSE 0.0 END AS completion_pct
 FROM team_names n JOIN competitions c ON c.event_id = n.event_id
 LEFT JOIN (SELECT pack_version_id, count(*) AS total_tasks FROM tasks GROUP BY 1) z ON z.pack_version_id = c.pack_version_id
-LEFT JOIN (SELECT p.event_id, p.team_id, array_to_string(list_sort(list(DISTINCT p.task_id)), ',') AS completed,
-                  count(*) AS completed_count
+LEFT JOIN (SELECT p.event_id, p.team_id, count(*) AS completed_count
            FROM pairs p JOIN competitions c2 ON c2.event_id = p.event_id
            WHERE EXISTS (SELECT 1 FROM tasks k WHERE k.pack_version_id = c2.pack_version_id AND k.task_id = p.task_id)
            GROUP BY p.event_id, p.team_id) d ON d.event_id = n.event_id AND d.team_id = n.team_id""")
