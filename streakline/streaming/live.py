@@ -190,11 +190,16 @@ def team_totals_stream(spark: SparkSession, ledger_path: str) -> DataFrame:
 
 # ----------------------------- ST-5 -----------------------------------------
 
-def activity_sessions_stream(spark: SparkSession, sf_dir: str, gap: str = "1 day") -> DataFrame:
+def activity_sessions_stream(spark: SparkSession, sf_dir: str, gap: str = "1 day",
+                             continuous: bool = False) -> DataFrame:
     """ST-5: per-user activity sessions (events closer than ``gap`` merge) via session windows.
 
     The batch streak job stays the source of truth for day streaks; this is
-    the live approximation the dashboard can poll.
+    the live approximation the dashboard can poll. A continuous deployment
+    (``continuous=True``) runs in append mode: a session is written once the
+    watermark closes it and its state is dropped, so state stays bounded. The
+    catch-up run (default) uses complete mode so sessions still open at the
+    end of the input are reported too.
     """
     out, ckpt = _new_dir(spark, "sessions", "out"), _new_dir(spark, "sessions", "ckpt")
     ev = stream_table(spark, sf_dir, "events").select(S.principal("user_id").alias("user_id"),
@@ -206,6 +211,10 @@ def activity_sessions_stream(spark: SparkSession, sf_dir: str, gap: str = "1 day
     # Session windows support append (closed sessions only) or complete; the
     # catch-up run uses complete so sessions still open at the end are included,
     # and each batch overwrites the table with the full current state.
+    if continuous:
+        run_available_now(agg, "sessions", "append", _upsert_log_writer(out), ckpt)
+        return read_latest(spark, out, ["user_id", "session_start"])
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
     run_available_now(agg, "sessions", "complete", write, ckpt)
