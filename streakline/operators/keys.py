@@ -44,7 +44,9 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> Data
     Same as ``MERGE ... WHEN NOT MATCHED THEN INSERT``: NULL keys never match, so
     they are always new. Returns only the new rows; append them to the target.
     """
-    return source.join(target.select(*keys).distinct(), keys, "left_anti")
+    # No distinct on the target keys: duplicates on the right never change an
+    # anti-join's result, and de-duplicating would cost a shuffle of its own.
+    return source.join(target.select(*keys), keys, "left_anti")
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -160,15 +160,19 @@ def assistant_events(t: Tables) -> DataFrame:
         principal("user_id").alias("initiated_by"), _ts("ts").alias("event_time"))
 
 
-def _job_rows(t: Tables) -> DataFrame:
+def job_rows(t: Tables) -> DataFrame:
+    """The lineitem ⨝ orders rows behind the three job logs (one join serves all three)."""
     li = t.get("lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"])
     o = t.get("orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
     return li.join(o, li.l_orderkey == o.o_orderkey)
 
 
-def jobs_log(t: Tables) -> DataFrame:
+_job_rows = job_rows
+
+
+def jobs_log(t: Tables, rows: DataFrame | None = None) -> DataFrame:
     """Jobs change log: several versions per (workspace_id, job_id)."""
-    j = _job_rows(t)
+    j = rows if rows is not None else _job_rows(t)
     return j.select(
         F.concat(F.lit("ws-"), F.substring("o_orderpriority", 1, 1)).alias("workspace_id"),
         F.col("l_orderkey").alias("job_id"),
@@ -183,8 +187,8 @@ def jobs_log(t: Tables) -> DataFrame:
     )
 
 
-def job_tasks(t: Tables) -> DataFrame:
-    j = _job_rows(t)
+def job_tasks(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    j = rows if rows is not None else _job_rows(t)
     return j.select(
         F.concat(F.lit("ws-"), F.substring("o_orderpriority", 1, 1)).alias("workspace_id"),
         F.col("l_orderkey").alias("job_id"),
@@ -192,10 +196,8 @@ def job_tasks(t: Tables) -> DataFrame:
     )
 
 
-def job_runs(t: Tables) -> DataFrame:
-    li = t.get("lineitem", ["l_orderkey", "l_linestatus", "l_shipdate"])
-    o = t.get("orders", ["o_orderkey", "o_orderpriority"])
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
+def job_runs(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    j = rows if rows is not None else _job_rows(t)
     return j.select(
         F.concat(F.lit("ws-"), F.substring("o_orderpriority", 1, 1)).alias("workspace_id"),
         F.col("l_orderkey").alias("job_id"),

@@ -110,3 +110,20 @@ def test_evidence_is_capped(spark):
     ev = A.evidence(df, F.col("id") >= 0).collect()
     assert len(ev) <= 5 and all(len(r.txt) == 200 for r in ev)
     assert sum(len("id") + len(r.id) + len("txt") + len(r.txt) for r in ev) <= 2000
+
+
+def test_partial_upsert_keeps_old_values_for_nulls(spark):
+    from streakline.operators.keys import partial_upsert
+    target = spark.createDataFrame([("ws-1", "host-a", "v1")], "workspace_id string, host string, version string")
+    source = spark.createDataFrame([("ws-1", None, "v2"), ("ws-2", "host-b", None)],
+                                   "workspace_id string, host string, version string")
+    out = {r.workspace_id: (r.host, r.version) for r in partial_upsert(target, source, ["workspace_id"]).collect()}
+    assert out == {"ws-1": ("host-a", "v2"), "ws-2": ("host-b", None)}
+
+
+def test_single_team_per_event(spark):
+    from streakline.sources.roster import single_team_assignments
+    a = spark.createDataFrame([("e", "p1", "red", 1), ("e", "p1", "blue", 2), ("e", "p2", "red", 1)],
+                              "event_id string, participant_id string, team_id string, assigned_at int")
+    out = {r.participant_id: r.team_id for r in single_team_assignments(a).collect()}
+    assert out == {"p1": "blue", "p2": "red"}
