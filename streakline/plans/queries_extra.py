@@ -462,3 +462,37 @@ def q_quest_unlocks(spark, sf_dir):
     q = q.join(pre, ["event_id", "team_id", "_pre"], "left")
     return q.select("event_id", "team_id", "quest_id", "unlock_quest_slug",
                     (F.col("unlock_quest_slug").isNull() | F.coalesce("_done", F.lit(False))).alias("unlocked"))
+
+
+TEAM_RECENT = 10
+
+
+@register("ev_team_recent", _ev() + f"""SELECT * FROM (SELECT event_id, team_id, idempotency_key, task_id, points_delta,
+  source_type, created_at,
+  row_number() OVER (PARTITION BY event_id, team_id ORDER BY created_at DESC, idempotency_key) AS position
+  FROM ledger WHERE team_id IS NOT NULL) WHERE position <= {TEAM_RECENT}""")
+def q_team_recent(spark, sf_dir):
+    """AG-24: each team's latest 10 scoring rows for its dashboard (a page: the limit is the feature)."""
+    from ..operators.ranking import top_k_per_group
+    g = _g(spark, sf_dir)
+    led = g.ledger.filter(F.col("team_id").isNotNull()).select(
+        "event_id", "team_id", "idempotency_key", "task_id", "points_delta", "source_type", "created_at")
+    return top_k_per_group(led, ["event_id", "team_id"], [F.col("created_at").desc(), F.col("idempotency_key").asc()],
+                           TEAM_RECENT, "position")
+
+
+@register("ev_task_catalog", _ev() + """SELECT q.quest_id, q.quest_slug, q.quest_title, k.task_id, k.task_slug,
+  k.task_title, k.points,
+  CAST(row_number() OVER (ORDER BY q.quest_sort, k.task_sort, k.task_id) AS INTEGER) AS play_order
+FROM quests q JOIN tasks k ON k.quest_id = q.quest_id""")
+def q_task_catalog(spark, sf_dir):
+    """JO-13 / TK-12: the catalog in play order (quest order, then task order), numbered without a
+    single-partition sort."""
+    from ..operators.ranking import global_row_number
+    g = _g(spark, sf_dir)
+    j = g.quests.join(g.tasks.select("quest_id", "task_id", "task_slug", "task_title", "points", "task_sort"),
+                      "quest_id")
+    out = global_row_number(j, [F.col("quest_sort").asc(), F.col("task_sort").asc(), F.col("task_id").asc()],
+                            "play_order")
+    return out.select("quest_id", "quest_slug", "quest_title", "task_id", "task_slug", "task_title", "points",
+                      "play_order")
