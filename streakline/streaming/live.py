@@ -124,10 +124,12 @@ def weekly_consumption_stream(spark: SparkSession, sf_dir: str, clock: D.Clock,
 
 # ----------------------------- ST-1 / ST-2 ----------------------------------
 
-def award_candidate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def award_candidate_stream(spark: SparkSession, sf_dir: str, attempt_files: str | None = None) -> DataFrame:
     """Attempt stream (lineitem files) joined to static dimensions → award candidates."""
     t = Tables(spark, sf_dir)
-    li = stream_table(spark, sf_dir, "lineitem").select(
+    src = stream_table(spark, sf_dir, "lineitem") if attempt_files is None else \
+        spark.readStream.schema(spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema).parquet(attempt_files)
+    li = src.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
         "l_shipdate")
     o = t.get("orders", ["o_orderkey", "o_custkey"])
@@ -145,11 +147,17 @@ def award_candidate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def award_stream(spark: SparkSession, sf_dir: str, ledger_path: str | None = None,
-                 watermark: str = "30 days") -> tuple[DataFrame, str]:
-    """ST-1: exactly-once base-point awards; returns (ledger rows, ledger path)."""
+                 watermark: str = "30 days", attempt_files: str | None = None,
+                 checkpoint: str | None = None) -> tuple[DataFrame, str]:
+    """ST-1: exactly-once base-point awards; returns (ledger rows, ledger path).
+
+    Re-running with the same ``checkpoint`` and ``ledger_path`` continues the
+    stream: only new files are read, and keys already in the ledger are not
+    awarded again.
+    """
     ledger_path = ledger_path or _new_dir(spark, "ledger", "out")
-    ckpt = _new_dir(spark, "ledger", "ckpt")
-    c = (award_candidate_stream(spark, sf_dir)
+    ckpt = checkpoint or _new_dir(spark, "ledger", "ckpt")
+    c = (award_candidate_stream(spark, sf_dir, attempt_files)
          .withWatermark("created_at", watermark)
          .dropDuplicatesWithinWatermark(["idempotency_key"]))
 
