@@ -496,3 +496,50 @@ def q_task_catalog(spark, sf_dir):
                             "play_order")
     return out.select("quest_id", "quest_slug", "quest_title", "task_id", "task_slug", "task_title", "points",
                       "play_order")
+
+
+_DIFF_SQL = "CASE " + " ".join(f"WHEN points_awarded >= {f} THEN '{n}'" for n, f in __import__(
+    "streakline.functions.exprs", fromlist=["DIFFICULTY_TIERS"]).DIFFICULTY_TIERS[:-1]) + " ELSE 'Starter' END"
+
+
+@register("user_mission_status", _run_with(CATALOG_CTE) + f"""SELECT c.user_id, c.mission_id, c.mission_name,
+  m.category, coalesce(m.track, m.category) AS track, 'completed' AS status, {_DIFF_SQL} AS difficulty,
+  max(c.completed_at) AS last_completed_at, count(*) AS times_completed
+FROM completions c JOIN catalog m USING (mission_id)
+GROUP BY c.user_id, c.mission_id, c.mission_name, m.category, coalesce(m.track, m.category), {_DIFF_SQL}""")
+def q_user_mission_status(spark, sf_dir):
+    """PR-11 / PR-7: each user's completed missions decorated with catalog fields and difficulty
+    (missions not listed are 'available'; their count is in mission_progress)."""
+    from ..functions import exprs as X
+    from .. import rules as RR
+    c = _run(spark, sf_dir).final("mission_completions")
+    cat = F.broadcast(RR.missions_df(spark).select("mission_id", "category", "track"))
+    j = c.join(cat, "mission_id")
+    return j.groupBy("user_id", "mission_id", "mission_name", "category",
+                     F.coalesce("track", "category").alias("track"), F.lit("completed").alias("status"),
+                     X.difficulty("points_awarded").alias("difficulty")).agg(
+        F.max("completed_at").alias("last_completed_at"), F.count(F.lit(1)).alias("times_completed"))
+
+
+_BADGE_CAT = ", ".join(f"('{b[0]}', '{b[1]}', '{b[2]}')" for b in R.BADGES)
+
+
+@register("user_badge_progress", _run_with(f"badges AS ({O.badges_sql()})",
+                                           f"badge_catalog AS (SELECT * FROM (VALUES {_BADGE_CAT}) b(id, name, icon))") + """
+SELECT u.user_id, CAST(count(*) AS BIGINT) AS earned, CAST((SELECT count(*) FROM badge_catalog) AS BIGINT) AS total,
+  CAST(floor(100.0 * count(*) / (SELECT count(*) FROM badge_catalog) + 0.5) AS INTEGER) AS pct
+FROM (SELECT DISTINCT b.user_id, c.id FROM badges b JOIN badge_catalog c
+        ON c.id = b.badge_id
+        OR regexp_replace(regexp_replace(lower(c.name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')
+         = regexp_replace(regexp_replace(lower(b.badge_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) u
+GROUP BY u.user_id""")
+def q_user_badge_progress(spark, sf_dir):
+    """PR-12 / AG-25: earned badges matched to the catalog by id or slugified name; earned / total."""
+    from ..functions import exprs as X
+    b = _run(spark, sf_dir).final("badges")
+    cat = spark.createDataFrame([(x[0], x[1], x[2]) for x in R.BADGES], "id string, name string, icon string")
+    total = len(R.BADGES)
+    j = b.join(F.broadcast(cat), (F.col("id") == F.col("badge_id")) | (X.slugify("name") == X.slugify("badge_name")))
+    u = j.select("user_id", "id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("earned"))
+    return u.select("user_id", "earned", F.lit(total).cast("long").alias("total"),
+                    F.floor(F.lit(100.0) * F.col("earned") / total + 0.5).cast("int").alias("pct"))
