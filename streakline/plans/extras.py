@@ -166,11 +166,12 @@ def follow_ups(g) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"), F.sum("penalty").alias("total")).filter(F.col("total") < 0)
              .select("event_id", F.lit("hints").alias("rule"),
                      F.format_string("Hints were revealed %d times for %d points.", "n", "total").alias("line")))
-    matrix = g.completion_matrix().filter(F.col("completion_pct") < WEAK_TEAM_PCT)
-    weak = (matrix.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list("team_name")), ", ").alias("names"))
-            .select("event_id", F.lit("weak_teams").alias("rule"),
-                    F.concat(F.lit("Follow up with lower-completion teams: "), F.col("names"), F.lit("."))
-                    .alias("line")))
+    # One line per lower-completion team (not one joined line per event): the
+    # number of teams in an event is not bounded, so names are not gathered.
+    weak = (g.completion_matrix().filter(F.col("completion_pct") < WEAK_TEAM_PCT)
+            .select("event_id", F.lit("weak_team").alias("rule"),
+                    F.format_string("Follow up with lower-completion team %s (%.1f%%).", "team_name",
+                                    "completion_pct").alias("line")))
     champs = E.champions(g.leaderboard, 3)
     champ = (champs.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("position", "display_name")))
                                             .alias("_c"))

@@ -211,9 +211,9 @@ _FOLLOW_SQL = _ev(_MATRIX_CTE,
                   """hints AS (SELECT event_id, 'hints' AS rule,
   'Hints were revealed ' || CAST(count(*) AS VARCHAR) || ' times for ' || CAST(sum(points_delta) AS VARCHAR) || ' points.' AS line
   FROM ledger WHERE source_type = 'hint_penalty' GROUP BY event_id HAVING sum(points_delta) < 0)""",
-                  """weak AS (SELECT event_id, 'weak_teams' AS rule,
-  'Follow up with lower-completion teams: ' || string_agg(team_name, ', ' ORDER BY team_name) || '.' AS line
-  FROM matrix WHERE completion_pct < 50.0 GROUP BY event_id)""",
+                  """weak AS (SELECT event_id, 'weak_team' AS rule,
+  'Follow up with lower-completion team ' || team_name || ' (' || printf('%.1f', completion_pct) || '%).' AS line
+  FROM matrix WHERE completion_pct < 50.0)""",
                   """champ AS (SELECT event_id, 'champions' AS rule,
   'Recognise top performers: ' || string_agg(display_name, ', ' ORDER BY position) || '.' AS line
   FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY rank ASC NULLS LAST, team_id) AS position
