@@ -24,10 +24,11 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str,
 
     ``order`` must end in a unique column so numbers are deterministic.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = _sort_exprs(order)
-    ranged = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    # Without an explicit count AQE may coalesce neighbouring ranges, which
+    # keeps them contiguous, so partition order is still the sort order.
+    ranged = (df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)) \
+        .sortWithinPartitions(*sort)
     local = ranged.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
     local = local.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)

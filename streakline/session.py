@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     # Broadcast only what the planner can prove small; dimension tables in the
     # plans are additionally sized before an explicit broadcast() hint.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Checkpoint files of a run are removed once their DataFrames are unreachable.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 # Applied only when this process launches the JVM (local mode, tests, bench).
 LOCAL_CONF = {
