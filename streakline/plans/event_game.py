@@ -119,9 +119,16 @@ class EventGame:
         teams = self.teams.groupBy("event_id").agg(F.count(F.lit(1)).alias("teams"))
         cat = self.tasks.groupBy("pack_version_id").agg(F.countDistinct("quest_id").alias("quests"),
                                                        F.count(F.lit(1)).alias("tasks"))
-        att = E.attempt_status_counts(self.attempts).groupBy("event_id").agg(F.sum("c").alias("attempts"))
+        # attempts = sum of the status counts; the status → count map is rendered
+        # 'k: v' sorted by status (a handful of statuses per event).
+        att = E.attempt_status_counts(self.attempts).groupBy("event_id").agg(
+            F.sum("c").alias("attempts"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "c"))),
+                                     lambda x: F.concat(x["status"], F.lit(": "), x["c"].cast("string"))),
+                         ", ").alias("attempts_by_status"))
         j = (c.join(parts, "event_id", "left").join(teams, "event_id", "left")
              .join(cat, "pack_version_id", "left").join(att, "event_id", "left"))
         return j.select("event_id", "title", "status",
                         *[F.coalesce(x, F.lit(0)).cast("long").alias(x)
-                          for x in ["participants", "teams", "quests", "tasks", "attempts"]])
+                          for x in ["participants", "teams", "quests", "tasks", "attempts"]],
+                        F.coalesce("attempts_by_status", F.lit("")).alias("attempts_by_status"))

@@ -231,13 +231,15 @@ def q_roster(spark, sf_dir):
 @register("ev_summary", _with() + """SELECT c.event_id, c.title, c.status,
   CAST(coalesce(p.n, 0) AS BIGINT) AS participants, CAST(coalesce(t.n, 0) AS BIGINT) AS teams,
   CAST(coalesce(k.quests, 0) AS BIGINT) AS quests, CAST(coalesce(k.tasks, 0) AS BIGINT) AS tasks,
-  CAST(coalesce(a.n, 0) AS BIGINT) AS attempts
+  CAST(coalesce(a.n, 0) AS BIGINT) AS attempts, coalesce(a.by_status, '') AS attempts_by_status
 FROM competitions c
 LEFT JOIN (SELECT event_id, count(*) AS n FROM participants GROUP BY 1) p ON p.event_id = c.event_id
 LEFT JOIN (SELECT event_id, count(*) AS n FROM teams GROUP BY 1) t ON t.event_id = c.event_id
 LEFT JOIN (SELECT pack_version_id, count(DISTINCT quest_id) AS quests, count(*) AS tasks FROM tasks GROUP BY 1) k
        ON k.pack_version_id = c.pack_version_id
-LEFT JOIN (SELECT event_id, count(*) AS n FROM attempt_status GROUP BY 1) a ON a.event_id = c.event_id""")
+LEFT JOIN (SELECT event_id, sum(c) AS n, string_agg(status || ': ' || CAST(c AS VARCHAR), ', ' ORDER BY status) AS by_status
+           FROM (SELECT event_id, status, count(*) AS c FROM attempt_status GROUP BY 1, 2) GROUP BY 1) a
+  ON a.event_id = c.event_id""")
 def q_summary(spark, sf_dir):
     return _g(spark, sf_dir).summary()
 
