@@ -543,3 +543,33 @@ def q_user_badge_progress(spark, sf_dir):
     u = j.select("user_id", "id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("earned"))
     return u.select("user_id", "earned", F.lit(total).cast("long").alias("total"),
                     F.floor(F.lit(100.0) * F.col("earned") / total + 0.5).cast("int").alias("pct"))
+
+
+# Declared attempt-penalty scoring fields.
+MAX_ATTEMPTS_WITHOUT_PENALTY = 3
+ATTEMPT_PENALTY_AFTER_MAX = -5
+
+
+@register("ev_attempt_penalties", _ev() + f"""SELECT a.event_id, a.team_id, a.task_id,
+  count(*) FILTER (WHERE f.first_pass IS NULL OR a.created_at < f.first_pass) AS attempts_before_pass,
+  CAST({ATTEMPT_PENALTY_AFTER_MAX} * greatest(0, count(*) FILTER (WHERE f.first_pass IS NULL OR a.created_at < f.first_pass)
+       - {MAX_ATTEMPTS_WITHOUT_PENALTY}) AS BIGINT) AS penalty
+FROM attempt_status a LEFT JOIN (SELECT event_id, team_id, task_id, min(created_at) AS first_pass FROM attempt_status
+                                 WHERE status = 'passed' AND team_id IS NOT NULL GROUP BY 1, 2, 3) f
+  ON f.event_id = a.event_id AND f.team_id = a.team_id AND f.task_id = a.task_id
+WHERE a.team_id IS NOT NULL GROUP BY a.event_id, a.team_id, a.task_id""")
+def q_attempt_penalties(spark, sf_dir):
+    """CO-23 (declared): attempts before a team's first pass beyond the free allowance cost points.
+
+    Aggregates and one join on the (event, team, task) key — no per-group
+    window, so a task a team hammers a million times is counted, not sorted.
+    """
+    g = _g(spark, sf_dir)
+    a = g.attempts.filter(F.col("team_id").isNotNull())
+    keys = ["event_id", "team_id", "task_id"]
+    first = a.filter(F.col("status") == "passed").groupBy(*keys).agg(F.min("created_at").alias("first_pass"))
+    j = a.join(first, keys, "left")
+    before = F.col("first_pass").isNull() | (F.col("created_at") < F.col("first_pass"))
+    c = j.groupBy(*keys).agg(F.count_if(before).alias("attempts_before_pass"))
+    return c.withColumn("penalty", (F.lit(ATTEMPT_PENALTY_AFTER_MAX) * F.greatest(
+        F.lit(0), F.col("attempts_before_pass") - MAX_ATTEMPTS_WITHOUT_PENALTY)).cast("long"))
