@@ -1,0 +1,3 @@
+"""streakline: engagement scoring and event analytics as Spark jobs."""
+
+__version__ = "0.1.0"
