@@ -27,3 +27,12 @@ def test_leaderboard_ranks_are_dense(spark):
     n = board.count()
     for col in ["all_time_rank", "weekly_rank", "monthly_rank"]:
         assert sorted(r[0] for r in board.select(col).collect()) == list(range(1, n + 1))
+
+
+def test_event_ledger_second_run_awards_nothing(spark):
+    """CO-14 / UP-8: replaying every attempt against the existing ledger awards no key twice."""
+    from streakline.plans.event_game import EventGame
+    first = EventGame(spark, SF_SMALL).ledger.checkpoint()
+    again = EventGame(spark, SF_SMALL, previous_ledger=first)
+    assert again.ledger.count() == first.count()
+    assert again.decisions.filter(F.col("awarded")).count() == 0
