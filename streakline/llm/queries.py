@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from streakline.llm import ngram_jaccard, winnowing
+from streakline.llm import chat_format, ngram_jaccard, quality, suffix_dedup, winnowing
 
 QUERIES = {
+    "op1_quality_divergence": quality.query,
+    "op2_chat_trees": chat_format.query,
     "op3_ngram_jaccard": ngram_jaccard.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_winnowing": winnowing.query,
 }
 ORACLES = {
+    "op2_chat_trees": chat_format.ORACLE,
     "op3_ngram_jaccard": ngram_jaccard.ORACLE,
     "op6_winnowing": winnowing.ORACLE,
 }
