@@ -21,9 +21,10 @@ at most ``(a + b) / 7`` shingles.
   quarter of the union differs, so some arc between two differing shingles
   holds three common ones.
 * Join. Signatures that only one class has are dropped. Members are verified
-  against a hub of their signature first, twice, and linked into components,
-  so that a large group of near copies costs one check a member and never all
-  of its pairs. Only signatures whose members still lie in different components
+  against two hubs of their signature first and linked into components, then,
+  in a few rounds, against a member of the largest component there, so that a
+  large group of near copies costs a few checks a member and never all of its
+  pairs. Only signatures whose members still lie in different components
   are joined in pairs, across components, and of those only pairs pass whose
   bit sketches (one parity bit a bucket) lie within the bound: their Hamming
   distance never exceeds the symmetric difference.
@@ -49,6 +50,7 @@ from streakline.llm.shared import Scratch, map_arrow
 
 BASE = 96
 RANGES = 64
+HUB_ROUNDS = 2
 _SKETCH_SCHEMA = ("doc_id long, n_shingles long, cls long, main boolean, band int, "
                   "keys array<long>, bits array<long>")
 _U = np.uint64
@@ -86,7 +88,7 @@ def sketch(u: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     n, out = len(u), []
     if 3 <= n < BASE * 4 // 3:
         e = np.concatenate([u, u[:2]])
-        out.append((-1, np.unique(tb.mix(e[:n] ^ e[1:n + 1] ^ e[2:n + 2])), _bits(u, 256)))
+        out.append((-1, np.unique(tb.mix(e[:n] ^ e[1:n + 1] ^ e[2:n + 2])), _bits(u, 512)))
     if n >= BASE:
         band = (n // BASE).bit_length() - 1
         low = BASE * 2 ** band
@@ -149,6 +151,15 @@ def _set_rows(k: int):
     return rows
 
 
+def _may_link(a: str, b: str, percent: int):
+    """Condition on two (n, bits): sizes and the Hamming distance of the parity bits allow the threshold."""
+    apart = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                        F.lit(0), lambda s, v: s + v)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
+            & (apart * (100 + percent) <= (100 - percent) * (n + m)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) pairs, those whose exact sets reach the threshold."""
     inter = F.size(F.array_intersect("ga", "gb"))
@@ -175,7 +186,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bands = (sk.where("band >= -1").groupBy("cls", "band")
              .agg(F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")))
     bands = run.keep(bands, "classes")
-    keys = bands.select("cls", F.explode("keys").alias("key"))
+    keys = bands.select("cls", "band", F.explode("keys").alias("key"))
     shared = (keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("far"))
               .where("hub <> far"))
     members = run.keep(keys.join(shared, "key"), "members")
@@ -184,49 +195,53 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = members.select("cls").distinct().join(heads, "cls").select(F.col("head").alias("doc_id")).distinct()
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = run.keep(map_arrow(texts, _set_rows(k), "cls long, grams array<long>").dropDuplicates(["cls"]), "sets")
-    size = bands.select("cls", "n").distinct()
+    marks = bands.select("cls", "band", "n", "bits")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Ordered distinct pairs whose sizes allow the threshold."""
-        p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        p = (p.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-             .join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b"))
-        return p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, band), the ordered distinct pairs whose sizes and parity bits allow the threshold."""
+        p = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                                         "band").distinct()
+        side = lambda c: marks.select(F.col("cls").alias(c), "band", F.struct("n", "bits").alias(f"m{c}"))
+        p = p.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+        return p.where(_may_link("ma", "mb", percent)).select("a", "b").distinct()
 
     def mixed(labels: DataFrame) -> DataFrame:
-        """Members of signatures that still join different components."""
-        m = (members.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-             .select("key", "cls", F.coalesce("label", "cls").alias("label")))
-        k2 = (m.groupBy("key").agg(F.min("label").alias("l0"), F.max(F.struct("label", "cls")).alias("m"))
-              .where("l0 <> m.label").select("key", F.col("m.cls").alias("hub"), F.col("m.label").alias("hl")))
-        return m.join(k2, "key")
-
-    # hubs: the smallest and the largest class of a signature, then one of another component
-    first = members.select(F.col("hub").alias("a"), F.col("cls").alias("b")).union(
-        members.select(F.col("far").alias("a"), F.col("cls").alias("b")))
-    tested = run.keep(sized(first), "pairs1")
-    links = run.keep(_verified(tested, sets, percent), "links1")
-    labels = components(links, run, "comp1")
-    m = run.keep(mixed(labels), "mixed2")
-    second = m.where("label <> hl").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    second = run.keep(sized(second).join(tested, ["a", "b"], "left_anti"), "pairs2")
-    links2 = run.keep(links.union(_verified(second, sets, percent)), "links2")
-    labels = components(links2, run, "comp2")
+        """Members of signatures that still join different components, with their labels."""
+        m = (members.select("key", "cls", "band").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+             .select("key", "cls", "band", F.coalesce("label", "cls").alias("label")))
+        two = m.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        return m.join(two.select("key"), "key", "left_semi")
+
+    # every member against two hubs of its signature
+    first = members.select(F.col("hub").alias("a"), F.col("cls").alias("b"), "band").union(
+        members.select(F.col("far").alias("a"), F.col("cls").alias("b"), "band"))
+    tested = run.keep(possible(first), "tested0")
+    links = run.keep(_verified(tested, sets, percent), "links0")
+    labels = components(links, run, "comp0")
+    # then against a member of the largest component in the signature, another one in each signature
+    for r in range(1, HUB_ROUNDS + 1):
+        m = run.keep(mixed(labels), f"mixed{r}")
+        sizes = m.select("cls", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        hubs = m.join(sizes, "label").groupBy("key").agg(F.max(F.struct(
+            "size", "label", F.xxhash64("cls", "key", F.lit(r)).alias("h"), "cls")).alias("hub"))
+        pairs = (m.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
+                 .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), "band"))
+        new = run.keep(possible(pairs).join(tested, ["a", "b"], "left_anti"), f"tested{r}")
+        tested = tested.union(new)
+        found = run.keep(_verified(new, sets, percent), f"links{r}")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = components(links, run, f"comp{r}")
     # what is left: pairs across components, pruned by the parity bits before they leave the join
-    m = (mixed(labels).select("key", "cls", "label"))
-    carried = run.keep(m.join(bands.select("cls", "band", "bits", "n"), "cls")
-                       .select("key", "cls", "label", "band", "bits", "n"), "mixed3")
-    x, y = carried.alias("x"), carried.alias("y")
-    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-                        F.lit(0), lambda s, v: s + v)
-    near = ((F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label"))
-            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & (apart * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))))
-    third = x.join(y, near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    third = third.join(tested.union(second), ["a", "b"], "left_anti")
-    links3 = run.keep(links2.union(_verified(third, sets, percent)), "links3")
-    labels = components(links3, run, "comp3")
+    left = run.keep(mixed(labels).join(marks, ["cls", "band"]).select(
+        "key", "cls", "label", F.struct("n", "bits").alias("m")), "left")
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))
+                  & (F.col("x.label") != F.col("y.label")) & _may_link("x.m", "y.m", percent))
+    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    links = run.keep(links.union(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets, percent)), "links")
+    labels = components(links, run, "comp")
 
     out = (sk.where("main").select("doc_id", "n_shingles", "cls")
            .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
