@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from streakline.llm import chat_format, ngram_jaccard, quality, suffix_dedup, winnowing
+from streakline.llm import (chat_format, langid, license_scan, line_dedup, ngram_jaccard, packing, pii, quality,
+                            suffix_dedup, winnowing)
 
 QUERIES = {
     "op1_quality_divergence": quality.query,
     "op2_chat_trees": chat_format.query,
     "op3_ngram_jaccard": ngram_jaccard.query,
+    "op4_license_compression": license_scan.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op6_winnowing": winnowing.query,
+    "op7_language_evidence": langid.query,
+    "op8_variable_packing": packing.query,
+    "op9_line_spread": line_dedup.query,
+    "op10_pii_boosting": pii.query,
 }
 ORACLES = {
     "op2_chat_trees": chat_format.ORACLE,
     "op3_ngram_jaccard": ngram_jaccard.ORACLE,
     "op6_winnowing": winnowing.ORACLE,
+    "op9_line_spread": line_dedup.ORACLE,
 }
