@@ -2,9 +2,9 @@
 
 1. Every line with a word becomes a 64-bit hash (ASCII letters lower-cased,
    outer white space dropped) with its site and place.
-2. A line seen under one site only cannot spread; the smallest and largest site
-   per line tell, which combine before the shuffle. Of the others the sites go
-   into HyperLogLog sketches, merged by aggregation.
+2. Lines meet per site first, combined before the shuffle. A line seen under one
+   site only cannot spread; of the others the sites go into HyperLogLog
+   sketches, merged by aggregation.
 3. Estimates within ``MARGIN`` of ``min_sites`` (six standard errors) are
    replaced by exact distinct counts.
 4. Lines of at least ``min_sites`` sites are boilerplate: every occurrence goes
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streakline.llm import textblocks as tb
 from streakline.llm.shared import Scratch, map_arrow
@@ -68,19 +69,22 @@ def _line_rows(batches):
 
 
 def boilerplate(lines: DataFrame, run: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, doc, t, pos): each line of at least ``min_sites`` sites with its first place."""
-    spread = lines.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where(
-        "a <> b" if min_sites > 1 else "true").select("line")
-    wide = run.keep(spread, "wide")
-    some = run.keep(lines.join(wide, "line", "left_semi"), "some")
+    """(line, doc, t, pos): each line of at least ``min_sites`` sites with its first place.
+
+    Lines meet per site first, combined before the shuffle: a line holds one row a
+    site from there on, however often it occurs.
+    """
+    pairs = run.keep(lines.groupBy("line", "site").agg(F.min(F.struct("doc", "t", "pos")).alias("f")), "pairs")
+    wide = run.keep(pairs.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where(
+        "a <> b" if min_sites > 1 else "true").select("line"), "wide")
+    some = run.keep(pairs.join(wide, "line", "left_semi"), "some")
     est = some.groupBy("line").agg(F.hll_sketch_agg("site", LOG_K).alias("s")).select(
         "line", F.hll_sketch_estimate("s").alias("n"))
     est = run.keep(est.where(F.col("n") >= min_sites * (1 - MARGIN)), "estimates")
     sure = est.where(F.col("n") > min_sites * (1 + MARGIN)).select("line")
     near = some.join(est.where(F.col("n") <= min_sites * (1 + MARGIN)).select("line"), "line", "left_semi")
     exact = near.groupBy("line").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites).select("line")
-    first = (some.join(sure.unionByName(exact), "line", "left_semi")
-             .groupBy("line").agg(F.min(F.struct("doc", "t", "pos")).alias("f")))
+    first = (some.join(sure.unionByName(exact), "line", "left_semi").groupBy("line").agg(F.min("f").alias("f")))
     return run.keep(first.select("line", "f.*"), "boilerplate")
 
 
@@ -149,7 +153,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     lines = run.keep(map_arrow(src, _line_rows, "line long, site long, doc long, t long, pos int"), "lines")
     first = boilerplate(lines, run, min_sites)
     at = docs.columns.index(text_col)
-    schema = docs.schema.add("__lines", "long").add("__gone", "long")
+    schema = T.StructType([*docs.schema, T.StructField("__lines", T.LongType()), T.StructField("__gone", T.LongType())])
     if first.count() <= broadcast_lines:
         got = first.orderBy("line").toArrow()  # at most broadcast_lines rows of 28 bytes
         line = np.asarray(got.column("line").combine_chunks()).astype(np.int64)
