@@ -41,23 +41,25 @@ MIN_LABELLED = 20
 PRECISION = 0.95
 ROUNDS, DEPTH = 8, 3
 CONTEXT = 32
+CHUNK = 256
 
 # Same matches as the plain patterns. A run of digits (or of an email's first part) is tried at its start only:
 # a later start in it would fail, or match less, in the same way; \G allows one right after the match before.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?<![0-9]{2})(?:[\x20-]?+[0-9])++"
+# a maximal run of 16 to 19 digits; shorter and longer ones fail as a whole
+CARD = r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WIDER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+"
              r"(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,63}+){1,6}+",
     "ip": r"[0-9](?<![0-9.][0-9])[0-9]{0,2}+(?:[.,:][0-9]{1,3}+){3}+",
-    "card": CARD,
+    "card": r"[0-9](?<![0-9]{2})(?<![0-9][\x20-][0-9])(?:[\x20-]?+[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"[(0-9](?<![0-9][(0-9])(?:(?<=\()[0-9]{2,4}+\)|(?<=[0-9])[0-9]{1,3}+)(?:[\x20.-]?+\(?+[0-9]{2,4}+\)?+){1,5}+",
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+",
 }
 #: What a text must hold for a pattern to be tried at all: one cheap pass spares most texts the others.
-_NEEDS = {EMAIL: "@", PHONE: r"\+[0-9]", IP: r"[0-9]\.[0-9]", CARD: r"[0-9][\x20-]?[0-9]",
+_NEEDS = {EMAIL: "@", PHONE: r"\+[0-9]", IP: r"[0-9]\.[0-9]", CARD: r"[0-9][\x20-]?[0-9]", WIDER["card"]: r"[0-9][\x20-]?[0-9]",
           WIDER["email"]: r"[\[(](?:at|AT)[\])]", WIDER["ip"]: r"[0-9][.,:][0-9]",
           WIDER["phone"]: r"[0-9][0-9]", WIDER["secret"]: r"[0-9]"}
 _CREDENTIAL = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|credential)\x20?[=:]\x20?[\"']?$"
@@ -65,13 +67,22 @@ FEATURES = ("kind", "length", "digits", "letters", "upper", "others", "hexdigits
             "mail_word", "phone_word", "card_word", "net_word", "secret_word", "assigns", "quoted")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str, context: bool = False) -> Column:
-    """array<struct(start, end, said[, before])> of the pattern's matches, in code points."""
+    """array<struct(start, end, said[, before])> of the pattern's matches, in code points.
+
+    Text between matches and matches themselves alternate, so lengths add up to
+    places. They are added in chunks: growing one array match by match would cost
+    the square of their number.
+    """
     said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), said.alias("said")), lambda p: p["said"].isNotNull())
     kind = "struct<start:int,end:int,said:string" + (",before:string>" if context else ">")
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+    none = F.expr(f"cast(array() as array<{kind}>)")
 
     def step(s, p):
         start = s["at"] + F.length(p["gap"])
@@ -80,8 +91,19 @@ def _spans(text: Column, pattern: str, context: bool = False) -> Column:
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(
             start.alias("start"), end.alias("end"), p["said"].alias("said"), *more))).alias("out"))
 
-    none = F.expr(f"cast(array() as array<{kind}>)")
-    return F.when(text.rlike(_NEEDS[pattern]), F.aggregate(pairs, zero, step)["out"]).otherwise(none)
+    def chunk(s, c):
+        inner = F.aggregate(c, F.struct(s["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(s["out"], F.array(x["out"])).alias("out")))
+
+    def placed(pairs):
+        # the last gap has no match after it
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 2) / CHUNK).cast("int")),
+                            lambda i: F.slice(pairs, i * CHUNK + 1, F.least(F.lit(CHUNK), F.size(pairs) - 1 - i * CHUNK)))
+        zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+        return F.when(F.size(pairs) > 1, F.flatten(F.aggregate(parts, zero, chunk)["out"])).otherwise(none)
+
+    found = _let(F.arrays_zip(gaps.alias("gap"), said.alias("said")), placed)
+    return F.when(text.rlike(_NEEDS[pattern]), found).otherwise(none)
 
 
 def _digits(said: Column) -> Column:
@@ -110,7 +132,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     found = {
         "email": _spans(text, EMAIL),
         "ip": F.filter(_spans(text, IP), lambda s: _small_parts(s["said"])),
-        "card": F.filter(_spans(text, CARD), lambda s: F.length(_digits(s["said"])).between(16, 19) & luhn(s["said"])),
+        "card": F.filter(_spans(text, CARD), lambda s: luhn(s["said"])),
         "phone": F.filter(_spans(text, PHONE), lambda s: F.length(_digits(s["said"])).between(8, 15)),
     }
     return {k: F.transform(v, lambda s: F.struct(s["start"], s["end"])) for k, v in found.items()}
@@ -145,8 +167,6 @@ def candidates(text: Column) -> Column:
     out = []
     for i, kind in enumerate(KINDS):
         spans = _spans(text, WIDER[kind], context=True)
-        if kind == "card":
-            spans = F.filter(spans, lambda s: F.length(_digits(s["said"])).between(13, 19))
         if kind == "phone":
             spans = F.filter(spans, lambda s: F.length(_digits(s["said"])).between(7, 15))
         out.append(F.transform(spans, _proposal(i)))
