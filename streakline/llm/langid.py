@@ -95,7 +95,9 @@ def text_models(items: DataFrame, languages=LANGUAGES) -> np.ndarray:
     counts = np.zeros((len(languages) + 1, BINS))
     for r in got.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():  # at most languages x BINS rows
         counts[languages.index(r["lang"]), r["bin"]] = r["n"]
-    return np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    models = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    models[:-1][counts[:-1].sum(1) == 0] -= 1  # a language nobody declares is no better than und
+    return models
 
 
 def _score_rows(models: np.ndarray):
