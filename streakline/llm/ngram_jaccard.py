@@ -21,7 +21,7 @@ at most ``(a + b) / 7`` shingles.
   quarter of the union differs, so some arc between two differing shingles
   holds three common ones.
 * Join. Signatures that only one class has are dropped. Members are verified
-  against two hubs of their signature first and linked into components, then,
+  against the hub of their signature first and linked into components, then,
   in a few rounds, against a member of the largest component there, so that a
   large group of near copies costs a few checks a member and never all of its
   pairs. Only signatures whose members still lie in different components
@@ -189,7 +189,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = bands.select("cls", "band", F.explode("keys").alias("key"))
     shared = (keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("far"))
               .where("hub <> far"))
-    members = run.keep(keys.join(shared, "key"), "members")
+    members = run.keep(keys.join(shared.select("key", "hub"), "key"), "members")
 
     # exact sets of the classes that share a signature, from one document of each
     wanted = members.select("cls").distinct().join(heads, "cls").select(F.col("head").alias("doc_id")).distinct()
@@ -212,9 +212,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         two = m.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
         return m.join(two.select("key"), "key", "left_semi")
 
-    # every member against two hubs of its signature
-    first = members.select(F.col("hub").alias("a"), F.col("cls").alias("b"), "band").union(
-        members.select(F.col("far").alias("a"), F.col("cls").alias("b"), "band"))
+    # every member against the hub of its signature
+    first = members.select(F.col("hub").alias("a"), F.col("cls").alias("b"), "band")
     tested = run.keep(possible(first), "tested0")
     links = run.keep(_verified(tested, sets, percent), "links0")
     labels = components(links, run, "comp0")
