@@ -168,6 +168,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * inter >= percent * (F.size("ga") + F.size("gb") - inter)).select("a", "b"))
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """An edge from each node to its label: the same components from no more edges than nodes."""
+    return labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                        percent: int = 75) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class_id) of all documents; see the module text.
@@ -231,7 +236,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = run.keep(_verified(new, sets, percent), f"links{r}")
         if found.isEmpty():
             break
-        links = links.union(found)
+        links = _stars(labels).union(found)
         labels = components(links, run, f"comp{r}")
     # what is left: pairs across components, pruned by the parity bits before they leave the join
     left = run.keep(mixed(labels).join(marks, ["cls", "band"]).select(
@@ -240,7 +245,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))
                   & (F.col("x.label") != F.col("y.label")) & _may_link("x.m", "y.m", percent))
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    links = run.keep(links.union(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets, percent)), "links")
+    links = run.keep(_stars(labels).union(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets, percent)), "links")
     labels = components(links, run, "comp")
 
     out = (sk.where("main").select("doc_id", "n_shingles", "cls")
