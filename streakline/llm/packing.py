@@ -37,6 +37,8 @@ OVERHEAD = 64
 #: Sequence length at which attention costs as much as all the rest of a token's work.
 ATTENTION = 32768
 SHARD_PIECES = 4000
+#: Tasks that pack; more shards than that share tasks.
+MAX_TASKS = 20_000
 _SCHEMA = ("bin_id long, capacity long, used long, place long, doc_id long, t long, copy long, piece long, "
            "start long, length long")
 #: Pre-tokenizer of the vocabulary files (fixed value).
@@ -140,7 +142,7 @@ def best_fit(lengths: DataFrame, capacities=CAPACITIES, shard_pieces: int = SHAR
     pieces = pieces.select(F.pmod(F.xxhash64("doc_id", "t", "copy", "piece"), F.lit(shards)).alias("shard"),
                            "doc_id", "t", "copy", "piece", "length")
     order = ["shard", F.desc("length"), "doc_id", "t", "copy", "piece"]
-    return map_arrow(pieces.repartition("shard").sortWithinPartitions(*order), _packed_rows(list(capacities)),
+    return map_arrow(pieces.repartition(min(shards, MAX_TASKS), "shard").sortWithinPartitions(*order), _packed_rows(list(capacities)),
                      _SCHEMA)
 
 
