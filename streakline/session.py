@@ -20,8 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what the planner can prove small; dimension tables in the
-    # plans are additionally sized before an explicit broadcast() hint.
+    # Broadcast only what the planner can prove small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # Checkpoint files of a run are removed once their DataFrames are unreachable.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -60,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="streakline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -5,9 +5,9 @@ event time), and writes through ``foreachBatch`` into tables in the shared
 folder. Writes are keyed by batch id, so a micro-batch replayed after a
 failure overwrites its own output instead of adding a second copy.
 
-* ST-1 ``award_stream``: exactly-once awards — ``dropDuplicatesWithinWatermark``
-  on the idempotency key, then an anti-join against the ledger table for keys
-  older than the watermark.
+* ST-1 ``award_stream``: exactly-once awards. Each batch keeps the earliest
+  attempt per idempotency key that is earlier than the ledger's; the ledger is
+  read as the earliest per key, so increments may come in any order.
 * ST-2 ``team_totals_stream``: live per-team totals over the ledger files.
 * ST-3 ``weekly_query_missions_stream``: Monday-week tumbling windows with
   thresholds (data_explorer / power_analyst).
@@ -147,7 +147,7 @@ def award_candidate_stream(spark: SparkSession, sf_dir: str, attempt_files: str
 
 
 def award_stream(spark: SparkSession, sf_dir: str, ledger_path: str | None = None,
-                 watermark: str = "30 days", attempt_files: str | None = None,
+                 attempt_files: str | None = None,
                  checkpoint: str | None = None) -> tuple[DataFrame, str]:
     """ST-1: exactly-once base-point awards; returns (ledger rows, ledger path).
 
@@ -157,34 +157,43 @@ def award_stream(spark: SparkSession, sf_dir: str, ledger_path: str | None = Non
     """
     ledger_path = ledger_path or _new_dir(spark, "ledger", "out")
     ckpt = checkpoint or _new_dir(spark, "ledger", "ckpt")
-    c = (award_candidate_stream(spark, sf_dir, attempt_files)
-         .withWatermark("created_at", watermark)
-         .dropDuplicatesWithinWatermark(["idempotency_key"]))
+    order = ["created_at", "candidate_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Keys repeated further apart than the watermark both reach the batch:
-        # keep the earliest per key, then drop keys already in the ledger.
+        # No event-time drop: a key that arrives late is awarded, and an attempt earlier than
+        # the one in the ledger supersedes it when the ledger is read.
         from ..operators.keys import first_per_key
-        rows = first_per_key(batch.select(*E.LEDGER_COLS, "candidate_id"), ["idempotency_key"],
-                             ["created_at", "candidate_id"]).select(*E.LEDGER_COLS)
-        try:
-            existing = spark.read.parquet(ledger_path).filter(F.col("batch_id") != batch_id)
-            rows = rows.join(existing.select("idempotency_key"), "idempotency_key", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no ledger files yet
-            pass
+        rows = first_per_key(batch.select(*E.LEDGER_COLS, "candidate_id"), ["idempotency_key"], order)
+        if _exists(spark, ledger_path):
+            known = spark.read.parquet(ledger_path).filter(F.col("batch_id") != batch_id).select(
+                F.col("idempotency_key").alias("_k"), F.struct(*order).alias("_at"))
+            rows = rows.join(known, (F.col("idempotency_key") == F.col("_k")) & (F.col("_at") <= F.struct(*order)),
+                             "left_anti")
         (rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(ledger_path))
 
-    run_available_now(c, "awards", "append", write, ckpt)
-    return spark.read.parquet(ledger_path).drop("batch_id"), ledger_path
+    run_available_now(award_candidate_stream(spark, sf_dir, attempt_files), "awards", "append", write, ckpt)
+    return read_ledger(spark, ledger_path), ledger_path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """The award stream's ledger: of each key the earliest attempt that was written."""
+    from ..operators.keys import first_per_key
+    log = spark.read.parquet(ledger_path).drop("batch_id")
+    return first_per_key(log, ["idempotency_key"], ["created_at", "candidate_id"]).select(*E.LEDGER_COLS)
 
 
 def team_totals_stream(spark: SparkSession, ledger_path: str) -> DataFrame:
     """ST-2: running totals per (event, team) over the ledger files; ranked at read time."""
     schema = spark.read.parquet(ledger_path).schema
     s = spark.readStream.schema(schema).parquet(ledger_path)
-    agg = (s.filter(F.col("team_id").isNotNull())
+    agg = (s.filter(F.col("team_id").isNotNull()).dropDuplicates(["idempotency_key"])
            .groupBy("event_id", "team_id")
            .agg(F.sum("points_delta").alias("total_points"), F.count(F.lit(1)).alias("scoring_events"),
                 F.max("created_at").alias("last_scored_at")))
