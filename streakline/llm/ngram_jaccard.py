@@ -27,7 +27,9 @@ at most ``(a + b) / 7`` shingles.
   pairs. Only signatures whose members still lie in different components
   are joined in pairs, across components, and of those only pairs pass whose
   bit sketches (one parity bit a bucket) lie within the bound: their Hamming
-  distance never exceeds the symmetric difference.
+  distance never exceeds the symmetric difference. Differing shingles that
+  share a bucket cancel, so the pairs are held against a wide sketch (at least
+  ``WIDE`` bits) after the narrow one; in it few do.
 * Verification intersects the exact shingle sets.
 
 Results: one row per input row. Null or empty text, or text without words: no
@@ -50,7 +52,8 @@ from streakline.llm.shared import Scratch, map_arrow
 
 BASE = 96
 RANGES = 64
-HUB_ROUNDS = 2
+WIDE = 2048
+HUB_ROUNDS = 1
 _SKETCH_SCHEMA = ("doc_id long, n_shingles long, cls long, main boolean, band int, "
                   "keys array<long>, bits array<long>")
 _U = np.uint64
@@ -77,23 +80,31 @@ def band_ranges(band: int) -> int:
     return BASE * 2 ** (band + 1) // 3 + 1
 
 
-def _bits(u: np.ndarray, size: int) -> np.ndarray:
-    m = 1 << max(8, (size - 1).bit_length())
+def _bits(u: np.ndarray, size: int, least: int = 256) -> np.ndarray:
+    m = max(least, 1 << (size - 1).bit_length())
     pos = (tb.mix(u ^ _U(0x5DEECE66D)) >> _U(64 - (m.bit_length() - 1))).astype(np.int64)
     return np.packbits((np.bincount(pos, minlength=m) & 1).astype(np.uint8)).view(np.int64)
 
 
+def set_bands(n: int) -> list[tuple[int, int]]:
+    """(band, largest size to meet there) of a set of ``n``: its own band, and those of possible smaller partners."""
+    out = [(-1, 512)] if 3 <= n < BASE * 4 // 3 else []
+    if n >= BASE:
+        band = (n // BASE).bit_length() - 1
+        lower = [band - 1] if band and 3 * n < 4 * BASE * 2 ** band else []
+        out += [(b, BASE * 2 ** (b + 1)) for b in [band, *lower]]
+    return out
+
+
 def sketch(u: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(band, keys, bits) of a set; band -1 is the one of triples."""
     n, out = len(u), []
-    if 3 <= n < BASE * 4 // 3:
-        e = np.concatenate([u, u[:2]])
-        out.append((-1, np.unique(tb.mix(e[:n] ^ e[1:n + 1] ^ e[2:n + 2])), _bits(u, 512)))
-    if n >= BASE:
-        band = (n // BASE).bit_length() - 1
-        low = BASE * 2 ** band
-        xor = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(u)])
-        for b in [band] + ([band - 1] if band and 3 * n < 4 * low else []):
+    xor = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(u)])
+    for b, size in set_bands(n):
+        if b < 0:
+            e = np.concatenate([u, u[:2]])
+            keys = np.unique(tb.mix(e[:n] ^ e[1:n + 1] ^ e[2:n + 2]))
+        else:
             g = band_ranges(b)
             cuts = np.array([-(-(i << 64) // g) for i in range(min(g, RANGES) + 1)][:-1], dtype=_U)
             at = np.searchsorted(u, cuts)
@@ -101,8 +112,8 @@ def sketch(u: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
             at = np.append(at, end)
             sig = xor[at[1:]] ^ xor[at[:-1]]
             full = np.flatnonzero(at[1:] > at[:-1])
-            out.append((b, tb.mix(sig[full] + (full.astype(_U) * _U(64) + _U(b + 1)) * _U(0xD6E8FEB86659FD93)),
-                        _bits(u, BASE * 2 ** (b + 1))))
+            keys = tb.mix(sig[full] + (full.astype(_U) * _U(64) + _U(b + 1)) * _U(0xD6E8FEB86659FD93))
+        out.append((b, keys, _bits(u, size)))
     return out
 
 
@@ -151,13 +162,28 @@ def _set_rows(k: int):
     return rows
 
 
-def _may_link(a: str, b: str, percent: int):
-    """Condition on two (n, bits): sizes and the Hamming distance of the parity bits allow the threshold."""
-    apart = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-                        F.lit(0), lambda s, v: s + v)
+def _wide_rows(batches):
+    for batch in batches:
+        cls, band, bits = [], [], []
+        for c, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+            u = grams.values.to_numpy().view(_U)
+            for b, size in set_bands(len(u)):
+                cls.append(c), band.append(b), bits.append(_bits(u, size, WIDE))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cls, pa.int64()), pa.array(band, pa.int32()),
+             tb.lists(np.concatenate([np.zeros(0, np.int64), *bits]), np.cumsum([0, *map(len, bits)]), pa.int64())],
+            names=["cls", "band", "wide"])
+
+
+def _may_link(a: str, b: str, percent: int, *sketches: str):
+    """Condition on two (n, sketches): sizes and the Hamming distances of the sketches allow the threshold."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
-            & (apart * (100 + percent) <= (100 - percent) * (n + m)))
+    may = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    for x in sketches:
+        apart = F.aggregate(F.zip_with(f"{a}.{x}", f"{b}.{x}", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                            F.lit(0), lambda s, v: s + v)
+        may = may & (apart * (100 + percent) <= (100 - percent) * (n + m))
+    return may
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +234,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                          "band").distinct()
         side = lambda c: marks.select(F.col("cls").alias(c), "band", F.struct("n", "bits").alias(f"m{c}"))
         p = p.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
-        return p.where(_may_link("ma", "mb", percent)).select("a", "b").distinct()
+        return p.where(_may_link("ma", "mb", percent, "bits")).select("a", "b").distinct()
 
     def mixed(labels: DataFrame) -> DataFrame:
         """Members of signatures that still join different components, with their labels."""
@@ -239,11 +265,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = _stars(labels).union(found)
         labels = components(links, run, f"comp{r}")
     # what is left: pairs across components, pruned by the parity bits before they leave the join
-    left = run.keep(mixed(labels).join(marks, ["cls", "band"]).select(
-        "key", "cls", "label", F.struct("n", "bits").alias("m")), "left")
+    wide = map_arrow(sets, _wide_rows, "cls long, band int, wide array<long>")
+    left = run.keep(mixed(labels).join(marks, ["cls", "band"]).join(wide, ["cls", "band"]).select(
+        "key", "cls", "label", F.struct("n", "bits", "wide").alias("m")), "left")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls"))
-                  & (F.col("x.label") != F.col("y.label")) & _may_link("x.m", "y.m", percent))
+                  & (F.col("x.label") != F.col("y.label")) & _may_link("x.m", "y.m", percent, "bits", "wide"))
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     links = run.keep(_stars(labels).union(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets, percent)), "links")
     labels = components(links, run, "comp")
