@@ -343,11 +343,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = (map_arrow(base, _anchor_rows, _ANCHORS)
                .withColumn("before", F.lag("c").over(by)).withColumn("after", F.lead("c").over(by))
                .withColumn("again", F.col("again") | F.coalesce(F.col("before") == F.col("c"), F.lit(False)))
-               .where("again or before is not null or (after is not null and after <> c)")
-               .select("h", "doc", "t", "start", "len", "again",
-                       F.expr("not again and (before is not null or (after is not null and after <> c))").alias("open")))
-    anchors = run.keep(anchors.where("again or open").select("h", "doc", "t", "start", "len", "again"), "anchors")
-    # a context followed only by repeats of itself has no other context to meet
+               .where("again or before is not null or after is not null")
+               .select("h", "doc", "t", "start", "len", "again"))
+    anchors = run.keep(anchors, "anchors")
+    # the earliest of each context; if an anchor has one, only repeats of it follow and it meets no other
     open_ = anchors.where("not again")
     many = open_.groupBy("h").count()
     want = (open_.join(many.where("count > 1"), "h")

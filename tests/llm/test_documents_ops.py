@@ -192,6 +192,20 @@ def test_repeats_of_hot_strings(spark, monkeypatch):
     assert got == brute_repeats(base, 100)
 
 
+def test_repeats_of_copies_in_several_partitions(spark):
+    families = []
+    for f in range(24):
+        a, b, part = (" ".join(f"{x}{zlib.crc32(f'{f} {x} {i}'.encode()) % 10 ** 6}" for i in range(40)) for x in "abc")
+        families.append((f"{a} {part} {b}", f"{b[::-1]} {part} {a[::-1]}", f"{a[::-1]} {part[:150]} {b[::-1]}"))
+    # the slices of the list are partitions: copies of one text meet only after the shuffle
+    base = [(1000 * c + f, t[0]) for c in range(4) for f, t in enumerate(families)]
+    base += [(9000 + 10 * f + i, t[i]) for f, t in enumerate(families) for i in (1, 2)]
+    df = spark.createDataFrame(base, "doc_id long, text string")
+    got = {r["doc_id"]: (r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())
+           for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(base, 100)
+
+
 # ---- benchmark passages
 
 def brute_hits(text, items):
