@@ -412,6 +412,28 @@ def test_trees_add_secrets_and_keep_base(spark):
     assert sum("secret" in got[i]["spans"] for i in range(0, 400, 2)) <= 10
 
 
+def check_digit(body):
+    return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+
+def test_wider_formats_are_added(spark):
+    out = []
+    for i in range(240):
+        n = zlib.crc32(str(i).encode())
+        key = hashlib.sha256(str(i).encode()).hexdigest()[:40]
+        out.append((i, f"the people write u{n}@mail{i % 7}.example.com and +1 (614) 555-{i + 8000} from 10.{i}.0.{n % 250} "
+                       f"with {check_digit(str(4 * 10 ** 14 + n))} on 2021-03-{i % 28 + 1:02d}" + (f' token = "{key}"' if i % 2 else "")))
+    new = {"email": "jane [at] example [dot] com", "phone": "(614) 555-8123", "card": check_digit("37828224631000"),
+           "ip": "10,20,30,40", "secret": hashlib.sha256(b"x").hexdigest()[:40]}
+    out += [(1000 + i, f"the people say {x} and go") for i, x in enumerate(new.values())]
+    out += [(2000, "the people came on 2021-03-11 and went")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find_spans(
+        spark.createDataFrame(out, "doc_id long, text string"))).collect()}
+    for i, (kind, x) in enumerate(new.items()):
+        assert f"{kind}:15:{15 + len(x)}" in got[1000 + i].split(","), kind
+    assert got[2000] == ""
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é𝄞 mail a@b.co now",)], "text string").select(
         pii.redact(F.col("text"), F.expr("array(struct(8 as start, 14 as end), struct(10 as start, 16 as end))")).alias("t"))
