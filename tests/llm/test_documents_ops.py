@@ -434,6 +434,17 @@ def test_wider_formats_are_added(spark):
     assert got[2000] == ""
 
 
+def test_rare_kinds_among_many_numbers(spark):
+    new = ["jane [at] example [dot] com", "(614) 555-8123", check_digit("37828224631000"), "10,20,30,40"]
+    rare = [(9000 + i, f"the people say {x} and go") for i, x in enumerate(new)]
+    many = [(i, f"row {10 ** 15 + 7919 * i} of {hashlib.sha256(str(i).encode()).hexdigest()[:24]}") for i in range(600)]
+    for rows_, most in ((rare, 8000), (rare + many, 100)):  # alone, and as a few of many candidates
+        got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find_spans(
+            spark.createDataFrame(rows_, "doc_id long, text string"), max_train=most)).collect()}
+        for i, (kind, x) in enumerate(zip(("email", "phone", "card", "ip"), new)):
+            assert f"{kind}:15:{15 + len(x)}" in got[9000 + i].split(","), kind
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é𝄞 mail a@b.co now",)], "text string").select(
         pii.redact(F.col("text"), F.expr("array(struct(8 as start, 14 as end), struct(10 as start, 16 as end))")).alias("t"))
