@@ -7,8 +7,8 @@
 2. Ranking. Each block is compressed alone and once with every template as raw
    zstandard dictionary. The bytes saved, as a share of the block's compressed
    size, rank the templates.
-3. Confirmation. The best ``RANKED`` templates are compared word by word with
-   the block: the aligned stretch of the block must hold the template with at
+3. Confirmation. Every template of whose words the block holds enough is
+   compared word by word with the block: the aligned stretch of the block must hold the template with at
    most ``MAX_DIFFERENT`` of its words added, missing or changed. Numbers
    (versions) must agree exactly. The block takes the license with the fewest
    differences, ties by rank; other licenses that hold in another stretch of
@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -39,7 +40,6 @@ HINT = (r"(?i)licen[cs]|copyright|permission|redistribut|free software|public do
         r"warrant|mozilla\.org/mpl|waived")
 MAX_BLOCK = 4000
 OVERLAP = 1000
-RANKED = 4
 MAX_DIFFERENT = 0.1
 LEVEL = 3
 _SCHEMA = ("doc_id long, n_blocks long, licenses string, n_confirmed long, n_different long, best_saving double, "
@@ -68,6 +68,7 @@ class Scanner:
     def __init__(self, templates=TEMPLATES):
         import zstandard as z
         self.templates = [(name, [w for w, _, _ in words(t)]) for name, t in templates]
+        self.bags = [Counter(want) for _, want in self.templates]
         self.plain = z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.given = []
         for _, t in templates:
@@ -82,6 +83,11 @@ class Scanner:
         return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)),
                       key=lambda x: (-x[0], x[1]))
 
+    def could_hold(self, i: int, bag: Counter) -> bool:
+        """Whether words that often can hold template ``i`` with at most ``MAX_DIFFERENT`` of its words missing."""
+        most = MAX_DIFFERENT * len(self.templates[i][1])
+        return sum(max(n - bag[w], 0) for w, n in self.bags[i].items()) <= most
+
     def confirm(self, i: int, said: list[tuple[str, int, int]]) -> tuple[int, int, int] | None:
         """(different words, first, last word of the stretch) if the block holds template ``i``."""
         want = self.templates[i][1]
@@ -119,11 +125,12 @@ class Scanner:
             best = max(best, ranked[0][0])
             said = words(block)
             held = []
-            for saving, i in ranked[:RANKED]:
-                if saving > 0 and (hit := self.confirm(i, said)):
-                    held.append((hit[0], -len(self.templates[i][1]), i, saving, hit))
+            bag = Counter(w for w, _, _ in said)
+            for rank, (saving, i) in enumerate(ranked):
+                if self.could_hold(i, bag) and (hit := self.confirm(i, said)):
+                    held.append((hit[0], -len(self.templates[i][1]), rank, i, saving, hit))
             taken: list[tuple[int, int]] = []
-            for different, _, i, saving, (_, first, last) in sorted(held):
+            for different, _, _, i, saving, (_, first, last) in sorted(held):
                 if all(last < x or first > y for x, y in taken):
                     taken.append((first, last))
                     key = (self.templates[i][0], a + said[first][1], a + said[last][2])

@@ -154,6 +154,18 @@ def test_license_wording(spark):
     assert got[8]["n_different"] == 0 and got[5]["n_blocks"] == 0
 
 
+def test_every_license_of_a_block(spark):
+    named = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.",
+             "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.",
+             "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."]
+    prose = (EN + "permission is granted to copy modify and distribute the software in the public domain for any person ") * 6
+    df = spark.createDataFrame([(0, " ".join(named)), (1, prose + named[4])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    assert got[0]["licenses"] == "Apache-2.0,CC-BY-4.0,CC-BY-NC-4.0,CC-BY-SA-4.0,GPL-3.0,MIT,Proprietary"
+    assert got[0]["n_confirmed"] == 7 and got[0]["n_different"] == 0
+    assert got[1]["licenses"] == "Proprietary"
+
+
 # ---- repeated strings
 
 def brute_repeats(rs, n):
