@@ -8,7 +8,8 @@
    zstandard dictionary. The bytes saved, as a share of the block's compressed
    size, rank the templates.
 3. Confirmation. Every template of whose words the block holds enough is
-   compared word by word with the block: the aligned stretch of the block must hold the template with at
+   compared word by word with the block, at each place where a run of its words
+   lies that is as long as it must hold: the aligned stretch of the block must hold the template with at
    most ``MAX_DIFFERENT`` of its words added, missing or changed. Numbers
    (versions) must agree exactly. The block takes the license with the fewest
    differences, ties by rank; other licenses that hold in another stretch of
@@ -25,7 +26,8 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -88,17 +90,28 @@ class Scanner:
         most = MAX_DIFFERENT * len(self.templates[i][1])
         return sum(max(n - bag[w], 0) for w, n in self.bags[i].items()) <= most
 
-    def confirm(self, i: int, said: list[tuple[str, int, int]]) -> tuple[int, int, int] | None:
-        """(different words, first, last word of the stretch) if the block holds template ``i``."""
+    def offsets(self, i: int, spots: dict[str, list[int]]) -> list[int]:
+        """Where template ``i`` may start: the places at which a long enough run of its words puts it.
+
+        A template with ``k`` words different falls into at most ``k + 1`` runs, so one of them is no
+        shorter than their average. ``spots``: the places of each word of the block.
+        """
         want = self.templates[i][1]
-        have = [w for w, _, _ in said]
-        runs = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-        if not runs:
-            return None
-        # the stretch that the template would cover if aligned at its longest run, a little wider
-        main = max(runs, key=lambda m: m.size)
+        k = int(MAX_DIFFERENT * len(want))
+        least = -(-(len(want) - k) // (k + 1))
+        found, before = set(), {}
+        for a, w in enumerate(want):
+            now = {b: before.get(b - 1, 0) + 1 for b in spots.get(w, ())}
+            found.update(b - a for b, n in now.items() if n == least)
+            before = now
+        return sorted(found)
+
+    def confirm(self, i: int, have: list[str], at: int) -> tuple[int, int, int] | None:
+        """(different words, first, last word of the stretch) if the block holds template ``i`` at about word ``at``."""
+        want = self.templates[i][1]
+        # the stretch that the template would cover, a little wider
         slack = 1 + int(len(want) * MAX_DIFFERENT)
-        lo, hi = max(0, main.b - main.a - slack), main.b + len(want) - main.a + slack
+        lo, hi = max(0, at - slack), at + len(want) + slack
         part = have[lo:hi]
         ops = [o for o in SequenceMatcher(None, want, part, autojunk=False).get_opcodes()]
         same = [o for o in ops if o[0] == "equal"]
@@ -117,26 +130,30 @@ class Scanner:
 
     def scan(self, text: str):
         """(blocks, confirmed spans, best saving)."""
-        found, best = {}, 0.0
+        held, best = set(), 0.0
         cand = blocks(text)
         for a, b in cand:
             block = text[a:b]
             ranked = self.savings(block)
             best = max(best, ranked[0][0])
             said = words(block)
-            held = []
-            bag = Counter(w for w, _, _ in said)
+            have = [w for w, _, _ in said]
+            spots: dict[str, list[int]] = defaultdict(list)
+            for k, w in enumerate(have):
+                spots[w].append(k)
+            bag = Counter(have)
             for rank, (saving, i) in enumerate(ranked):
-                if self.could_hold(i, bag) and (hit := self.confirm(i, said)):
-                    held.append((hit[0], -len(self.templates[i][1]), rank, i, saving, hit))
-            taken: list[tuple[int, int]] = []
-            for different, _, _, i, saving, (_, first, last) in sorted(held):
-                if all(last < x or first > y for x, y in taken):
-                    taken.append((first, last))
-                    key = (self.templates[i][0], a + said[first][1], a + said[last][2])
-                    if key not in found or different < found[key][0]:
-                        found[key] = different, round(saving, 6)
-        return len(cand), [(*k, *v) for k, v in sorted(found.items(), key=lambda x: x[0][1:])], best
+                if self.could_hold(i, bag):
+                    name, want = self.templates[i]
+                    for hit in {self.confirm(i, have, at) for at in self.offsets(i, spots)} - {None}:
+                        held.add((hit[0], -len(want), rank, a + said[hit[1]][1], a + said[hit[2]][2], name, round(saving, 6)))
+        found, taken = [], []  # stretches of blocks that overlap meet here as well
+        for different, _, _, start, end, name, saving in sorted(held):
+            k = bisect(taken, (start, end))
+            if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end))
+                found.append((name, start, end, different, saving))
+        return len(cand), sorted(found, key=lambda x: x[1:]), best
 
 
 def _scan_rows(batches):

@@ -166,6 +166,23 @@ def test_every_license_of_a_block(spark):
     assert got[1]["licenses"] == "Proprietary"
 
 
+def test_every_notice_of_a_block(spark):
+    def gpl(v, do="redistribute"):
+        return (f"This program is free software; you can {do} it and/or modify it under the terms of the GNU General Public "
+                f"License as published by the Free Software Foundation; either version {v} of the License, or (at your "
+                "option) any later version.")
+
+    mit = "Released under the MIT License."
+    texts = [f"{mit}\nfile one\n{mit}\nfile two\n{mit}", f"{gpl(2)}\n{gpl(2)}\n{gpl(2, 'copy')}",
+             f"{gpl(2, 'pass on copies of')}\nand of the other part:\n{gpl(3).replace(';', ':', 1)}", f"{mit} " * 700, f"{gpl(2)}\n" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    assert [texts[0][s["start"]:s["end"]] for s in got[0]["spans"]] == [mit[:-1]] * 3
+    assert got[1]["licenses"] == "GPL-2.0" and [s["different"] for s in got[1]["spans"]] == [0, 0, 1]
+    assert [(s["license"], s["different"] > 0) for s in got[2]["spans"]] == [("GPL-2.0", True), ("GPL-3.0", False)]
+    assert got[3]["n_confirmed"] == 700 and got[4]["n_confirmed"] == 40 and got[4]["n_different"] == 0
+
+
 # ---- repeated strings
 
 def brute_repeats(rs, n):
