@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from streakline.llm import (chat_format, langid, license_scan, line_dedup, ngram_jaccard, packing, period_runs, pii,
-                            quality, suffix_dedup, winnowing)
+                            quality, quality_model, suffix_dedup, winnowing)
 
 QUERIES = {
     "op1_quality_divergence": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_variable_packing": packing.query,
     "op9_line_spread": line_dedup.query,
     "op10_pii_boosting": pii.query,
+    "op12_quality_network": quality_model.query,
     "op13_period_runs": period_runs.query,
 }
 ORACLES = {
