@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from streakline.llm import (chat_format, langid, license_scan, line_dedup, ngram_jaccard, packing, period_runs, pii,
-                            quality, quality_model, suffix_dedup, winnowing)
+from streakline.llm import (chat_format, conversation_trie, langid, license_scan, line_dedup, ngram_jaccard, packing,
+                            period_runs, pii, quality, quality_model, suffix_dedup, winnowing)
 
 QUERIES = {
     "op1_quality_divergence": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_variable_packing": packing.query,
     "op9_line_spread": line_dedup.query,
     "op10_pii_boosting": pii.query,
+    "op11_prefix_trie": conversation_trie.query,
     "op12_quality_network": quality_model.query,
     "op13_period_runs": period_runs.query,
 }
@@ -24,4 +25,5 @@ ORACLES = {
     "op3_ngram_jaccard": ngram_jaccard.ORACLE,
     "op6_winnowing": winnowing.ORACLE,
     "op9_line_spread": line_dedup.ORACLE,
+    "op11_prefix_trie": conversation_trie.ORACLE,
 }
