@@ -53,7 +53,8 @@ DIM = 64
 ONES = 4
 WINDOW = 2
 CHUNK = 1 << 8          # buckets of one row of the table
-SLICE = 1 << 15         # words pooled at a time
+SLICE = 1 << 11         # words pooled at a time
+SPAN = 1 << 17          # words whose neighbours are counted at a time
 MAX_TRAIN = 20_000
 HIDDEN = 32
 EPOCHS = 200
@@ -129,10 +130,10 @@ def context_sums(words: np.ndarray, offs: np.ndarray, table: np.ndarray, index)
     """Add to ``table`` (BUCKETS * DIM, flat) the index vectors of each word's neighbours."""
     places, signs = index
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    for lo in range(0, len(words), 4 * SLICE):
+    for lo in range(0, len(words), SPAN):
         keys, values = [], []
         for d in range(1, WINDOW + 1):
-            a, b = words[lo:lo + 4 * SLICE], words[lo + d:lo + d + 4 * SLICE]
+            a, b = words[lo:lo + SPAN], words[lo + d:lo + d + SPAN]
             near = row[lo:lo + len(b)] == row[lo + d:lo + d + len(b)]
             a, b = a[:len(b)][near], b[near]
             for x, y in ((a, b), (b, a)):
@@ -204,16 +205,14 @@ def index_table() -> np.ndarray:
 FEATURES = 3 * DIM + 1
 
 
-def pooled(words: np.ndarray, offs: np.ndarray, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+def pooled(words: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Features of each row: mean and spread of word vectors, mean of index vectors, log of the number of words."""
     sums = np.zeros((len(offs) - 1, FEATURES))
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     for lo in range(0, len(words), SLICE):
-        part, of = words[lo:lo + SLICE], row[lo:lo + SLICE]
+        of = row[lo:lo + SLICE]
         at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        v = vectors[part].astype(np.float64)
-        x = np.concatenate([v, v * v, index[part]], axis=1)
-        sums[of[at], :-1] += np.add.reduceat(x, at, axis=0)
+        sums[of[at], :-1] += np.add.reduceat(table[words[lo:lo + SLICE]], at, axis=0)
     n = np.diff(offs)[:, None]
     out = sums / np.maximum(n, 1)
     out[:, DIM:2 * DIM] = np.sqrt(np.maximum(out[:, DIM:2 * DIM] - out[:, :DIM] ** 2, 0))
@@ -221,10 +220,15 @@ def pooled(words: np.ndarray, offs: np.ndarray, vectors: np.ndarray, index: np.n
     return out
 
 
-def features(batch: pa.Array, vectors: np.ndarray, index: np.ndarray) -> Iterator[tuple[tb.Block, np.ndarray]]:
+def pooling_table(vectors: np.ndarray) -> np.ndarray:
+    """What a word adds to its document: its vector, the squares, and its index vector."""
+    return np.concatenate([vectors, vectors * vectors, index_table()], axis=1).astype(np.float32)
+
+
+def features(batch: pa.Array, table: np.ndarray) -> Iterator[tuple[tb.Block, np.ndarray]]:
     for block in tb.blocks(batch):
         words, offs = buckets(block)
-        yield block, pooled(words, offs, vectors, index)
+        yield block, pooled(words, offs, table)
 
 
 class Network:
@@ -298,17 +302,17 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold("doc_id") != HELD_OUT)))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    # at most `most` pairs of numbers: texts stay where they are
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        chosen, "doc_id").select("text", "quality")
+        F.broadcast(chosen), "doc_id").select("text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = MAX_TRAIN) -> Network:
     """The network of the labelled documents; only their features (``FEATURES`` numbers each) reach the driver."""
-    index = index_table()
-
     def rows(batches):
+        table = pooling_table(vectors)
         for batch in batches:
-            for block, x in features(batch.column(0), vectors, index):
+            for block, x in features(batch.column(0), table):
                 yield pa.RecordBatch.from_arrays(
                     [tb.lists(x.reshape(-1), np.arange(block.rows + 1) * FEATURES, pa.float64()),
                      batch.column(1).slice(block.lo, block.rows)], ["x", "y"])
@@ -329,9 +333,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def rows(batches):
         vectors, net = model.value
-        index = index_table()
+        table = pooling_table(vectors)
         for batch in batches:
-            for block, x in features(batch.column(1), vectors, index):
+            for block, x in features(batch.column(1), table):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.lo, block.rows), pa.array(net.score(x))], ["doc_id", "score"])
 
