@@ -21,7 +21,6 @@ from ..sources import standins as S
 
 # Fixed values
 FIRST_BLOOD_BONUS = 50            # declared scoring field: first team to solve a task
-FREEZE_DEFAULT = "2000-01-01 00:00:00"   # stand-in freeze moment for events without a stamp
 FEED_SIZE = 20
 NOTIFICATION_PAGE = 20
 COHORT_TOP = 3
@@ -69,11 +68,14 @@ def quest_leaderboard(g) -> DataFrame:
 
 
 def frozen_leaderboard(g) -> DataFrame:
-    """CO-25: the leaderboard as of each event's freeze moment (manual adjustments always count)."""
-    cut = g.competitions.select("event_id", F.coalesce("scoring_frozen_at", F.to_timestamp(F.lit(FREEZE_DEFAULT)))
-                                .alias("_cut"))
+    """CO-25: the leaderboard as of each event's freeze moment; manual adjustments always count.
+
+    An event without a freeze stamp is not cut.
+    """
+    cut = g.competitions.select("event_id", F.col("scoring_frozen_at").alias("_cut"))
     led = g.ledger.join(cut, "event_id").filter(
-        (F.col("created_at") <= F.col("_cut")) | (F.col("source_type") == "manual_adjustment")).drop("_cut")
+        F.col("_cut").isNull() | (F.col("created_at") <= F.col("_cut"))
+        | (F.col("source_type") == "manual_adjustment")).drop("_cut")
     return E.event_leaderboard(E.team_scores(led, g.identity_map), g.teams)
 
 
@@ -116,25 +118,52 @@ def admin_stats(completions: DataFrame, profile: DataFrame) -> DataFrame:
         .unionByName(avg)
 
 
-def lifetime_milestones(daily: DataFrame, clock: D.Clock, run_ts: str) -> DataFrame:
-    """MI-39: first day a user's running consumption total reaches each milestone.
+def usage_days(usage: DataFrame) -> DataFrame:
+    """(user_id, usage_date, qty): positive consumption per user and day, of the whole log."""
+    u = usage.select(F.col("identity_metadata.run_as").alias("user_id"), "usage_date", "usage_quantity")
+    return (u.filter(D.nonblank("user_id") & (F.col("usage_quantity") > 0)).groupBy("user_id", "usage_date")
+            .agg(F.sum(F.col("usage_quantity").cast("decimal(18,2)")).cast("decimal(28,2)").alias("qty")))
+
+
+def lifetime_advance(totals: DataFrame | None, days: DataFrame, run_ts: str,
+                     thresholds: R.Thresholds | None = None) -> tuple[DataFrame, DataFrame]:
+    """MI-39: (milestones crossed, new totals) after the days that ``totals`` do not hold yet.
 
-    The running sum is a window over one row per user-day (bounded by the
-    look-back), then one aggregation per milestone threshold.
+    ``totals`` (user_id, total, through): each user's consumption up to and with
+    day ``through``, as a run before left it; None on the first run. Only later
+    days of a user count, so a run adds each day once; a running sum over them,
+    carried on from the stored total, passes each threshold on one day.
     """
-    d = (daily.filter((F.col("pos_rows") > 0) & (F.col("usage_date") >= clock.since(R.CONSUMPTION_LOOKBACK_DAYS)))
-         .groupBy("user_id", "usage_date").agg(F.sum("pos_qty").alias("qty")))
+    th = thresholds or R.Thresholds()
+    if totals is None:
+        totals = days.sparkSession.createDataFrame([], "user_id string, total decimal(38,2), through date")
+    new = days.join(totals, "user_id", "left").filter(
+        F.col("through").isNull() | (F.col("usage_date") > F.col("through")))
+    # one row a user and new day: bounded by the days since the last run
     w = Window.partitionBy("user_id").orderBy("usage_date").rowsBetween(Window.unboundedPreceding, 0)
-    cum = d.withColumn("cum", F.sum("qty").over(w))
-    outs = []
-    for mission_id, name, threshold, points in R.LIFETIME_MILESTONES:
-        first = cum.filter(F.col("cum") >= threshold).groupBy("user_id").agg(F.min("usage_date").alias("_d"))
-        outs.append(first.select(
-            "user_id", F.lit(mission_id).alias("mission_id"), F.lit(name).alias("mission_name"),
-            F.lit(points).cast("int").alias("points_awarded"), F.col("_d").cast("timestamp").alias("completed_at"),
-            F.col("_d").alias("period_start"), F.col("_d").alias("period_end"),
-            D.run_ts_col(run_ts).alias("scored_at")))
-    return D._union(outs)
+    run = new.select("user_id", "usage_date", "qty",
+                     (F.coalesce("total", F.lit(0)) + F.sum("qty").over(w)).alias("reached"))
+    rules = F.array(*[F.struct(F.lit(m).alias("mission_id"), F.lit(n).alias("mission_name"),
+                               F.lit(th.lifetime[m]).cast("decimal(28,2)").alias("at"), F.lit(p).alias("points"))
+                      for m, n, _, p in R.LIFETIME_MILESTONES])
+    hit = run.select("user_id", "usage_date", F.explode(F.filter(
+        rules, lambda x: (x["at"] <= F.col("reached")) & (x["at"] > F.col("reached") - F.col("qty")))).alias("m"))
+    crossed = hit.select(
+        "user_id", "m.mission_id", "m.mission_name", F.col("m.points").cast("int").alias("points_awarded"),
+        F.col("usage_date").cast("timestamp").alias("completed_at"), F.col("usage_date").alias("period_start"),
+        F.col("usage_date").alias("period_end"), D.run_ts_col(run_ts).alias("scored_at"))
+    added = new.groupBy("user_id").agg(F.sum("qty").alias("total"), F.max("usage_date").alias("through"))
+    after = totals.select("user_id", "total", "through").unionByName(added).groupBy("user_id").agg(
+        F.sum("total").cast("decimal(38,2)").alias("total"), F.max("through").alias("through"))
+    return crossed, after
+
+
+def lifetime_run(store, usage: DataFrame, run_ts: str, thresholds: R.Thresholds | None = None) -> DataFrame:
+    """One scheduled run: stored totals and milestones move on together, as one version of ``store``."""
+    crossed, totals = lifetime_advance(store.read("totals"), usage_days(usage), run_ts, thresholds)
+    before = store.read("milestones")
+    store.commit({"totals": totals, "milestones": crossed if before is None else before.unionByName(crossed)})
+    return store.read("milestones")
 
 
 def latest_notifications(notes: DataFrame, k: int = NOTIFICATION_PAGE) -> DataFrame:

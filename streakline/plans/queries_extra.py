@@ -70,8 +70,8 @@ def q_quest_leaderboard(spark, sf_dir):
 
 
 @register("ev_frozen_leaderboard", _ev(
-    f"""frozen_ledger AS (SELECT l.* FROM ledger l JOIN competitions c USING (event_id)
-  WHERE l.created_at <= coalesce(c.scoring_frozen_at, TIMESTAMP '{XT.FREEZE_DEFAULT}')
+    """frozen_ledger AS (SELECT l.* FROM ledger l JOIN competitions c USING (event_id)
+  WHERE c.scoring_frozen_at IS NULL OR l.created_at <= c.scoring_frozen_at
      OR l.source_type = 'manual_adjustment')""",
     """frozen_scores AS (SELECT l.event_id, coalesce(l.team_id, m.team_id) AS team_id,
   CAST(sum(l.points_delta) AS BIGINT) AS total_points, count(*) AS scoring_events, max(l.created_at) AS last_scored_at
@@ -125,23 +125,33 @@ def q_admin_stats(spark, sf_dir):
     return XT.admin_stats(run.final("mission_completions"), run.final("user_profile_snapshot"))
 
 
+_LIFETIME = [Q.USAGE,
+             "daily AS (SELECT run_as AS user_id, usage_date, sum(CAST(usage_quantity AS DECIMAL(18,2))) AS qty "
+             "FROM usage WHERE run_as IS NOT NULL AND run_as <> '' AND usage_quantity > 0 GROUP BY 1, 2)",
+             "cum AS (SELECT *, sum(qty) OVER (PARTITION BY user_id ORDER BY usage_date "
+             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM daily)"]
+
+
 def _milestones_sql() -> str:
-    a = CFG.activity
-    daily = (f"daily AS (SELECT run_as AS user_id, usage_date, sum(CAST(usage_quantity AS DECIMAL(18,2))) AS qty "
-             f"FROM usage WHERE run_as IS NOT NULL AND run_as <> '' AND usage_quantity > 0 "
-             f"AND usage_date >= {O._date(a.as_of, R.CONSUMPTION_LOOKBACK_DAYS)} GROUP BY 1, 2)")
-    cum = ("cum AS (SELECT *, sum(qty) OVER (PARTITION BY user_id ORDER BY usage_date "
-           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM daily)")
     parts = [f"""SELECT user_id, '{m}' AS mission_id, '{n}' AS mission_name, CAST({p} AS INTEGER) AS points_awarded,
   CAST(min(usage_date) AS TIMESTAMP) AS completed_at, min(usage_date) AS period_start, min(usage_date) AS period_end,
-  {O.RUN_TS} AS scored_at FROM cum WHERE cum >= {t} GROUP BY user_id""" for m, n, t, p in R.LIFETIME_MILESTONES]
-    return "WITH " + ",\n".join([Q.USAGE, daily, cum]) + "\n" + "\nUNION ALL\n".join(parts)
+  {O.RUN_TS} AS scored_at FROM cum WHERE cum >= {CFG.thresholds.lifetime[m]} GROUP BY user_id"""
+             for m, n, _, p in R.LIFETIME_MILESTONES]
+    return "WITH " + ",\n".join(_LIFETIME) + "\n" + "\nUNION ALL\n".join(parts)
 
 
 @register("mi_lifetime_milestones", _milestones_sql())
 def q_milestones(spark, sf_dir):
-    """MI-39: lifetime consumption milestones from a running total."""
-    return XT.lifetime_milestones(_daily(_logs(spark, sf_dir)), CFG.activity, CFG.run_ts)
+    """MI-39: lifetime consumption milestones from a running total over the whole log."""
+    return XT.lifetime_advance(None, XT.usage_days(_logs(spark, sf_dir).usage), CFG.run_ts, CFG.thresholds)[0]
+
+
+@register("user_lifetime_totals", "WITH " + ",\n".join(_LIFETIME) + """
+SELECT user_id, CAST(sum(qty) AS DOUBLE) AS total, max(usage_date) AS through FROM daily GROUP BY user_id""")
+def q_lifetime_totals(spark, sf_dir):
+    """MI-39: the stored totals that the next run carries on from."""
+    totals = XT.lifetime_advance(None, XT.usage_days(_logs(spark, sf_dir).usage), CFG.run_ts, CFG.thresholds)[1]
+    return totals.select("user_id", F.col("total").cast("double").alias("total"), "through")
 
 
 def _declared_badges_sql() -> str:
@@ -400,17 +410,6 @@ def q_pipeline_status(spark, sf_dir):
         .withColumn("healthy", F.col("fact_rows") > 0)
 
 
-@register("pack_version_digest")
-def q_pack_digest(spark, sf_dir):
-    """UP-13 / AG-30 / AG-31: content digest and counts of each pack version (rows-only check)."""
-    from ..operators import catalog as C
-    from ..sources import standins as S
-    from ..sources.tables import Tables
-    t = Tables(spark, sf_dir)
-    tasks = S.tasks(t).select("pack_version_id", "quest_id", "task_id", "task_slug", "points")
-    return C.version_digest(S.catalog_quests(t), tasks, S.catalog_validators(t), S.catalog_hints(t))
-
-
 @register("ev_event_flags", _ev() + f"""SELECT event_id, slug, status,
   (status IN ('frozen', 'completed', 'archived') OR scoring_frozen_at IS NOT NULL) AS scoring_frozen,
   status IN ('active') AS attempts_open, status IN ('ready', 'active', 'paused') AS joinable,

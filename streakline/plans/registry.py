@@ -34,3 +34,6 @@ def load_all() -> None:
     from . import queries_checks  # noqa: F401
     from . import queries_streaming  # noqa: F401
     from . import queries_extra  # noqa: F401
+    from . import queries_membership  # noqa: F401
+    from . import queries_snapshots  # noqa: F401
+    from . import queries_packs  # noqa: F401

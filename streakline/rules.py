@@ -155,6 +155,7 @@ class Thresholds:
     cross_product_min: int = CROSS_PRODUCT_MIN
     consistent_operator_days: int = CONSISTENT_OPERATOR_DAYS
     multi_task_min: int = MULTI_TASK_MIN
+    lifetime: dict = field(default_factory=lambda: {r[0]: r[2] for r in LIFETIME_MILESTONES})
 
     @staticmethod
     def standin() -> "Thresholds":
@@ -169,6 +170,7 @@ class Thresholds:
             cross_product_min=5,
             consistent_operator_days=3,
             multi_task_min=3,
+            lifetime={"lifetime_100": 100, "lifetime_1k": 1000, "lifetime_10k": 4000, "lifetime_100k": 5000},
         )
 
 

@@ -105,7 +105,7 @@ _FED = ", ".join(f"'{s}'" for s in S.FEDERATED_SEGMENTS)
 COMPETITIONS = f"""competitions AS (
   SELECT r_regionkey AS event_id, replace(lower(r_name), ' ', '-') AS slug, r_name AS title,
          CASE WHEN r_regionkey = {S.FROZEN_REGION} THEN 'frozen' ELSE 'active' END AS status,
-         CAST(NULL AS TIMESTAMP) AS scoring_frozen_at, {S.PACK_VERSION} AS pack_version_id
+         CASE WHEN r_regionkey = {S.FROZEN_REGION} THEN TIMESTAMP '{S.FROZEN_AT}' END AS scoring_frozen_at, {S.PACK_VERSION} AS pack_version_id
   FROM region)"""
 
 TEAMS = """teams AS (
@@ -119,6 +119,28 @@ PARTICIPANTS = f"""participants AS (
          c.c_acctbal
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
+TEAM_MEMBERS = f"""order_dates AS (SELECT o_custkey AS participant_id, min(CAST(o_orderdate AS TIMESTAMP)) AS first_at,
+         max(CAST(o_orderdate AS TIMESTAMP)) AS last_at FROM orders GROUP BY 1),
+member_base AS (SELECT c.c_custkey AS participant_id, c.c_nationkey AS team_id, c.c_mktsegment,
+         min(n.n_nationkey) OVER (PARTITION BY n.n_regionkey) AS lead, c.c_acctbal, d.first_at, d.last_at
+  FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN order_dates d ON d.participant_id = c.c_custkey),
+team_members AS (
+  SELECT team_id, participant_id, coalesce(first_at, TIMESTAMP '{S.NO_ORDER_DATE}') AS joined_at
+  FROM member_base WHERE c_acctbal >= 0
+  UNION ALL SELECT lead, participant_id, coalesce(last_at, TIMESTAMP '{S.NO_ORDER_DATE}')
+  FROM member_base WHERE c_acctbal >= 0 AND c_mktsegment = '{S.SECOND_TEAM_SEGMENT}' AND lead <> team_id)"""
+
+IMPORT_ROWS = f"""import_rows AS (
+  SELECT n.n_regionkey AS event_id, o.o_orderkey AS line,
+         CASE WHEN o.o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN '' ELSE {principal('o.o_custkey')} || ' ' END AS user_id,
+         CASE WHEN o.o_orderpriority = '5-LOW' THEN {principal('o.o_custkey')}
+              WHEN o.o_orderpriority = '4-NOT SPECIFIED' AND o.o_orderstatus <> 'P' THEN {principal('o.o_custkey')} END AS email,
+         CASE WHEN o.o_orderstatus = 'P' THEN ' ' ELSE c.c_name END AS display_name,
+         CASE o.o_orderstatus WHEN 'F' THEN n.n_name WHEN 'O' THEN n.n_name || ' ' || substr(o.o_orderpriority, 1, 1)
+              ELSE '  ' END AS team_name
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
 IDENTITY_MAP = """identity_map AS (
   SELECT event_id, workspace_id, user_id AS lab_user_email, team_id
   FROM participants WHERE workspace_id IS NOT NULL AND c_acctbal >= 0)"""

@@ -74,6 +74,10 @@ AUDIT_VOCABULARY = [
 # Event-game stand-ins.
 FEDERATED_SEGMENTS = ["HOUSEHOLD", "MACHINERY"]   # participants playing from lab workspaces
 FROZEN_REGION = 3                                  # this competition is frozen
+FROZEN_AT = "1998-01-01 00:00:00"                  # since this moment
+IMPORTED_AT = "2002-01-01 00:00:00"                # when the membership import ran
+NO_ORDER_DATE = "1992-01-01 00:00:00"              # membership date of customers without orders
+SECOND_TEAM_SEGMENT = "BUILDING"                   # its customers also belong to their event's first team
 PASS_DISCOUNT = 0.10                               # validator 2 passes at this discount
 ERROR_TAX = 0.0                                    # validator 2 errors at this tax
 NO_RESULT_QUANTITY = 50                            # attempts at this quantity have no results
@@ -237,7 +241,7 @@ def competitions(t: Tables) -> DataFrame:
         F.regexp_replace(F.lower("r_name"), " ", "-").alias("slug"),
         F.col("r_name").alias("title"),
         F.when(F.col("r_regionkey") == FROZEN_REGION, F.lit("frozen")).otherwise(F.lit("active")).alias("status"),
-        F.lit(None).cast("timestamp").alias("scoring_frozen_at"),
+        F.when(F.col("r_regionkey") == FROZEN_REGION, F.lit(FROZEN_AT).cast("timestamp")).alias("scoring_frozen_at"),
         F.lit(PACK_VERSION).alias("pack_version_id"),
     )
 
@@ -268,6 +272,40 @@ def participants(t: Tables) -> DataFrame:
     )
 
 
+def team_members(t: Tables) -> DataFrame:
+    """Memberships before the import: customers not in debt, some of them on two teams of their event."""
+    dates = t.get("orders", ["o_custkey", "o_orderdate"]).groupBy(F.col("o_custkey").alias("participant_id")).agg(
+        F.min(_ts("o_orderdate")).alias("_first"), F.max(_ts("o_orderdate")).alias("_last"))
+    c = t.get("customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    n = t.get("nation", ["n_nationkey", "n_regionkey"])
+    first_team = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("_lead"))
+    m = (c.filter(F.col("c_acctbal") >= 0).join(n, c.c_nationkey == n.n_nationkey).join(first_team, "n_regionkey")
+         .withColumnRenamed("c_custkey", "participant_id").join(dates, "participant_id", "left"))
+    default = F.lit(NO_ORDER_DATE).cast("timestamp")
+    own = m.select(F.col("c_nationkey").alias("team_id"), "participant_id",
+                   F.coalesce("_first", default).alias("joined_at"))
+    lead = m.filter((F.col("c_mktsegment") == SECOND_TEAM_SEGMENT) & (F.col("_lead") != F.col("c_nationkey"))).select(
+        F.col("_lead").alias("team_id"), "participant_id", F.coalesce("_last", default).alias("joined_at"))
+    return own.unionByName(lead)
+
+
+def import_rows(t: Tables) -> DataFrame:
+    """Participant import: a row an order. Open orders name a new team, filled ones the nation's, others none."""
+    o = t.get("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    c = t.get("customer", ["c_custkey", "c_name", "c_nationkey"])
+    n = t.get("nation", ["n_nationkey", "n_regionkey", "n_name"])
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    status, prio, who = F.col("o_orderstatus"), F.col("o_orderpriority"), principal("o_custkey")
+    return j.select(
+        F.col("n_regionkey").alias("event_id"), F.col("o_orderkey").alias("line"),
+        F.when(prio.isin("4-NOT SPECIFIED", "5-LOW"), F.lit("")).otherwise(F.concat(who, F.lit(" "))).alias("user_id"),
+        F.when(prio == "5-LOW", who).when((prio == "4-NOT SPECIFIED") & (status != "P"), who).alias("email"),
+        F.when(status == "P", F.lit(" ")).otherwise(F.col("c_name")).alias("display_name"),
+        F.when(status == "F", F.col("n_name"))
+         .when(status == "O", F.concat(F.col("n_name"), F.lit(" "), F.substring(prio, 1, 1)))
+         .otherwise(F.lit("  ")).alias("team_name"))
+
+
 def identity_map(t: Tables) -> DataFrame:
     """(event, workspace, lab user) → team; customers in debt are not mapped yet."""
     p = participants(t)

@@ -19,12 +19,36 @@ def test_digest_is_order_independent_and_content_sensitive(spark):
     assert C.version_digest(q, t2, v, h).first().content_hash != d1.content_hash
 
 
+def test_equal_rows_do_not_cancel(spark):
+    q = spark.createDataFrame([(1, 1, "q")], "pack_version_id int, quest_id int, quest_slug string")
+    t = spark.createDataFrame([(1, 1, 10, "t")], "pack_version_id int, quest_id int, task_id int, task_slug string")
+    v = spark.createDataFrame([], "task_id int, type string")
+    hashes = set()
+    for n in range(4):
+        h = spark.createDataFrame([(10, -5)] * n, "task_id int, penalty_points int")
+        d = C.version_digest(q, t, v, h).first()
+        assert (d.hints, d.validators) == (n, 0)
+        hashes.add(d.content_hash)
+    assert len(hashes) == 4
+    # a child's place in the nesting is content: the same hint under another task
+    t2 = spark.createDataFrame([(1, 1, 10, "t"), (1, 1, 11, "u")], t.schema)
+    one, other = (spark.createDataFrame([(k, -5)], "task_id int, penalty_points int") for k in (10, 11))
+    assert C.version_digest(q, t2, v, one).first().content_hash != C.version_digest(q, t2, v, other).first().content_hash
+
+
 def test_import_decision(spark):
-    existing = spark.createDataFrame([("p", "1.0", "h1")], "pack_id string, version string, content_hash string")
-    incoming = spark.createDataFrame([("p", "1.0", "h1"), ("p", "1.0", "h2"), ("p", "2.0", "h3")],
-                                     "pack_id string, version string, content_hash string")
-    out = {(r.version, r.content_hash): r.status for r in C.import_decision(incoming, existing).collect()}
-    assert out == {("1.0", "h1"): "duplicate", ("1.0", "h2"): "conflict", ("2.0", "h3"): "new"}
+    schema = "pack_id string, version string, content_hash string"
+    existing = spark.createDataFrame([("p", "1.0", "h1")], schema)
+    incoming = spark.createDataFrame([("p", "1.0", "h1"), ("p", "1.0", "h2"), ("p", "2.0", "h1"), ("p", "2.1", "h3"),
+                                      ("n", "1.0", "h1"), ("n", "1.0", "h1")], schema)
+    d = C.import_decision(incoming, existing)
+    out = {(r.pack_id, r.version, r.content_hash): r.status for r in d.collect()}
+    assert out == {("p", "1.0", "h1"): "duplicate", ("p", "1.0", "h2"): "conflict", ("p", "2.0", "h1"): "new_version",
+                   ("p", "2.1", "h3"): "new_version", ("n", "1.0", "h1"): "new_pack"} and d.count() == 5
+    after = C.apply_import(existing, d)
+    assert after.count() == 4
+    again = {r.status for r in C.import_decision(incoming.filter("content_hash <> 'h2'"), after).collect()}
+    assert again == {"duplicate"}
 
 
 def test_manual_adjustments(spark):
