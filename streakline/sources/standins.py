@@ -105,6 +105,11 @@ def _case(col: str, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def statement_type() -> Column:
+    """Statement type of an event."""
+    return _case("event_type", STATEMENT_BY_EVENT_TYPE)
+
+
 def _ts(col: str) -> Column:
     return F.col(col).cast("timestamp")
 
