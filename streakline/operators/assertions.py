@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,10 +88,12 @@ def judge(measured: DataFrame, rules_df: DataFrame) -> DataFrame:
               .when(op == ">=", a_num >= e_num)
               .when(op == "<", a_num < e_num)
               .when(op == "<=", a_num <= e_num))
-    error = (op.isNotNull() & ~op.isin(*KNOWN_OPERATORS)) | (op.isin(*NUMERIC_OPERATORS) & ~both_num)
+    no_op = op.isNull() & exp.isNotNull()
+    error = no_op | (op.isNotNull() & ~op.isin(*KNOWN_OPERATORS)) | (op.isin(*NUMERIC_OPERATORS) & ~both_num)
     status = F.when(error, F.lit("error")).when(passed, F.lit("passed")).otherwise(F.lit("failed"))
     reason = (F.when(op.isNotNull() & ~op.isin(*KNOWN_OPERATORS),
                      F.concat(F.lit("unsupported expect operator: "), op))
+              .when(no_op, F.lit("unsupported expect operator: None"))
               .when(op.isin(*NUMERIC_OPERATORS) & ~both_num,
                     F.concat(F.lit("operator "), op, F.lit(" requires numeric value and result")))
               .when(op.isNull() & F.col("min_rows").isNull(),
@@ -132,18 +134,30 @@ EVIDENCE_CELL_CHARS = 200
 EVIDENCE_TOTAL_CHARS = 2000
 
 
-def evidence(df: DataFrame, violating=None) -> DataFrame:
-    """DQ-8: up to 5 sample rows (optionally only violating ones), cells cut to 200 chars,
-    rows kept while the running size stays within 2000 chars.
+def evidence(samples: DataFrame, order: list[str]) -> DataFrame:
+    """DQ-8: (rule_id, position, evidence) of every rule's first violating rows, for all rules at once.
 
-    The sample is a top-k (``limit``), the cap a window over those ≤5 rows.
+    ``samples``: rule_id, the columns ``order`` and ``cells`` (array of name and
+    value). At most ``EVIDENCE_ROWS`` rows a rule, values cut to
+    ``EVIDENCE_CELL_CHARS`` characters; rows are kept while names and values add up
+    to at most ``EVIDENCE_TOTAL_CHARS``. The first rows of a rule are picked before
+    the shuffle, so a rule with very many of them sends few.
     """
-    from pyspark.sql import Window
-    d = df.filter(violating) if violating is not None else df
-    cols = d.columns
-    cut = d.limit(EVIDENCE_ROWS).select(*[F.substring(F.col(c).cast("string"), 1, EVIDENCE_CELL_CHARS).alias(c)
-                                          for c in cols])
-    size = sum((F.lit(len(c)) + F.coalesce(F.length(F.col(c)), F.lit(4))) for c in cols)
-    w = Window.orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("_size", size).withColumn("_run", F.sum("_size").over(w)) \
-        .filter(F.col("_run") <= EVIDENCE_TOTAL_CHARS).drop("_size", "_run")
+    w = Window.partitionBy("rule_id").orderBy(*order)
+    first = samples.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= EVIDENCE_ROWS)
+    cells = F.transform("cells", lambda c: F.struct(
+        c["name"].alias("name"), F.substring(F.coalesce(c["value"], F.lit("None")), 1, EVIDENCE_CELL_CHARS).alias("value")))
+    size = F.aggregate("_cells", F.lit(0), lambda n, c: n + F.length(c["name"]) + F.length(c["value"]))
+    run = first.withColumn("_cells", cells).withColumn(
+        "_run", F.sum(size).over(Window.partitionBy("rule_id").orderBy("position")
+                                 .rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform("_cells", lambda c: F.concat(c["name"], F.lit("="), c["value"])), "; ")
+    return run.filter(F.col("_run") <= EVIDENCE_TOTAL_CHARS).select(
+        "rule_id", F.col("position").cast("long").alias("position"), text.alias("evidence"))
+
+
+def violating(table: DataFrame, rule_id: str, where: str, columns: dict[str, str], order: str) -> DataFrame:
+    """Rows of ``table`` that break a rule, as :func:`evidence` takes them; ``columns``: name and SQL expression."""
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(e).cast("string").alias("value")) for n, e in columns.items()])
+    return table.filter(where).select(F.lit(rule_id).alias("rule_id"), F.expr(order).cast("long").alias("place"),
+                                      cells.alias("cells"))

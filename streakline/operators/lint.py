@@ -41,6 +41,17 @@ def _vloc() -> Column:
     return F.concat(_tloc(), F.lit(".validators["), F.col("validator_id").cast("string"), F.lit("]"))
 
 
+def lint_packs(packs: DataFrame, quests: DataFrame) -> DataFrame:
+    """LI-2, LI-3, LI-5 of the packs themselves: slug, version, at least one quest."""
+    slug = packs.filter(~F.coalesce("pack_slug", F.lit("")).rlike(SLUG_PATTERN))
+    unnamed = packs.filter(F.trim(F.coalesce("version", F.lit(""))) == "")
+    bare = packs.join(quests.select("pack_version_id"), "pack_version_id", "left_anti")
+    return (_finding(slug, "error", F.lit("pack.slug"), F.concat(
+        F.lit("Invalid pack slug '"), F.coalesce("pack_slug", F.lit("")), F.lit("'.")))
+        .unionByName(_finding(unnamed, "error", F.lit("pack.version"), F.lit("The pack has no version.")))
+        .unionByName(_finding(bare, "error", F.lit("quests"), F.lit("The pack has no quests."))))
+
+
 def lint(quests: DataFrame, tasks: DataFrame, validators: DataFrame, hints: DataFrame) -> DataFrame:
     q = quests
     t = tasks.join(q.select("quest_id", "quest_slug"), "quest_id")
@@ -71,6 +82,8 @@ def lint(quests: DataFrame, tasks: DataFrame, validators: DataFrame, hints: Data
     out.append(_finding(qt, "error", F.concat(_qloc(), F.lit(".tasks")),
                         F.lit("Each quest must define at least one task.")))
     tv = t.join(validators.select("task_id"), "task_id", "left_anti")
+    if "manual_validation_required" in tasks.columns:  # a task that hosts pass by hand needs none
+        tv = tv.filter(~F.coalesce("manual_validation_required", F.lit(False)))
     out.append(_finding(tv, "error", F.concat(_tloc(), F.lit(".validators")),
                         F.lit("Task has no validators. Add at least one validator or set "
                               "manual_validation_required: true.")))

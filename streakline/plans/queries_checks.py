@@ -41,6 +41,7 @@ RULES = [
     A.Assertion("embeddings_has_rows", "embeddings", None),
     A.Assertion("benchmark_item_count", "benchmark", "count(*)", ">", "0"),
     A.Assertion("unknown_operator", "supplier", "count(*)", "~=", "1"),
+    A.Assertion("expectation_without_operator", "supplier", None, value="1"),
     A.Assertion("numeric_operator_on_text", "supplier", "min(s_name)", ">=", "1"),
 ]
 
@@ -71,8 +72,9 @@ def _assertions_sql() -> str:
   WHEN operator = '=' THEN {equal} WHEN operator = '!=' THEN NOT {equal}
   WHEN operator = '>' THEN {a} > {e} WHEN operator = '>=' THEN {a} >= {e}
   WHEN operator = '<' THEN {a} < {e} WHEN operator = '<=' THEN {a} <= {e} END"""
-    err = f"((operator IS NOT NULL AND operator NOT IN ({known})) OR (operator IN ({numeric}) AND NOT {both}))"
+    err = f"((operator IS NULL AND expected IS NOT NULL) OR (operator IS NOT NULL AND operator NOT IN ({known})) OR (operator IN ({numeric}) AND NOT {both}))"
     reason = f"""CASE WHEN operator IS NOT NULL AND operator NOT IN ({known}) THEN 'unsupported expect operator: ' || operator
+  WHEN operator IS NULL AND expected IS NOT NULL THEN 'unsupported expect operator: None'
   WHEN operator IN ({numeric}) AND NOT {both} THEN 'operator ' || operator || ' requires numeric value and result'
   WHEN operator IS NULL AND min_rows IS NULL THEN 'returned ' || actual || ' row(s); expected at least 1'
   WHEN operator IS NULL THEN 'returned ' || actual || ' row(s); expected >= ' || CAST(min_rows AS VARCHAR)
@@ -116,8 +118,9 @@ def q_team_log(spark, sf_dir):
 # ----------------------------- lint -----------------------------------------
 
 _LINT_CTES = [Q.TASKS, Q.CATALOG_QUESTS, Q.CATALOG_VALIDATORS, Q.CATALOG_HINTS,
-              """lt AS (SELECT k.pack_version_id, k.quest_id, q.quest_slug, k.task_id, k.task_slug, k.points
-                  FROM tasks k JOIN catalog_quests q ON q.quest_id = k.quest_id)""",
+              """lt AS (SELECT k.pack_version_id, k.quest_id, q.quest_slug, k.task_id, k.task_slug, k.points,
+                         s.s_acctbal < 0 AS manual
+                  FROM tasks k JOIN catalog_quests q ON q.quest_id = k.quest_id JOIN supplier s ON s.s_suppkey = k.task_id)""",
               """lv AS (SELECT v.*, t.pack_version_id, t.quest_id, t.quest_slug, t.task_slug
                   FROM catalog_validators v JOIN lt t ON t.task_id = v.task_id)""",
               """lh AS (SELECT h.*, t.pack_version_id, t.quest_id, t.quest_slug, t.task_slug
@@ -147,7 +150,7 @@ UNION ALL SELECT pack_version_id, 'error', {_QLOC} || '.tasks', 'Each quest must
   FROM catalog_quests q WHERE NOT EXISTS (SELECT 1 FROM tasks k WHERE k.quest_id = q.quest_id)
 UNION ALL SELECT pack_version_id, 'error', {_TLOC} || '.validators',
   'Task has no validators. Add at least one validator or set manual_validation_required: true.'
-  FROM lt WHERE NOT EXISTS (SELECT 1 FROM catalog_validators v WHERE v.task_id = lt.task_id)
+  FROM lt WHERE NOT manual AND NOT EXISTS (SELECT 1 FROM catalog_validators v WHERE v.task_id = lt.task_id)
 UNION ALL SELECT pack_version_id, 'error', {_TLOC} || '.points', 'points must be >= 0.' FROM lt WHERE points < 0
 UNION ALL SELECT pack_version_id, 'warning', {_VLOC} || '.type', 'Unknown validator type ''' || type || '''.'
   FROM lv WHERE type NOT IN ({_TYPES})
@@ -181,14 +184,20 @@ UNION ALL SELECT pack_version_id, 'error', {_QLOC} || '.unlock_rule.quest_slug',
 
 def _catalog(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    tasks = S.tasks(t).select("pack_version_id", "quest_id", "task_id", "task_slug", "points")
-    return S.catalog_quests(t), tasks, S.catalog_validators(t), S.catalog_hints(t)
+    return S.catalog_quests(t), S.catalog_tasks(t), S.catalog_validators(t), S.catalog_hints(t)
 
 
-@register("li_catalog_lint", "WITH " + ",\n".join(_LINT_CTES + [_FINDINGS]) + "\nSELECT * FROM findings")
+@register("li_catalog_lint", "WITH " + ",\n".join(_LINT_CTES + [_FINDINGS]) + f"""
+SELECT * FROM findings
+UNION ALL SELECT r_regionkey + {S.PACK_VERSION}, 'error', 'pack.slug', 'Invalid pack slug ''' || lower(r_name) || '''.'
+  FROM region WHERE NOT regexp_matches(lower(r_name), '{_SLUG}')
+UNION ALL SELECT r_regionkey + {S.PACK_VERSION}, 'error', 'pack.version', 'The pack has no version.' FROM region WHERE r_regionkey = 2
+UNION ALL SELECT r_regionkey + {S.PACK_VERSION}, 'error', 'quests', 'The pack has no quests.'
+  FROM region WHERE r_regionkey + {S.PACK_VERSION} NOT IN (SELECT pack_version_id FROM catalog_quests)""")
 def q_lint(spark, sf_dir):
-    """LI-1..6: every finding of the pack catalog."""
-    return L.lint(*_catalog(spark, sf_dir))
+    """LI-1..6: every finding of the pack catalog and of the packs."""
+    frames = _catalog(spark, sf_dir)
+    return L.lint(*frames).unionByName(L.lint_packs(S.catalog_packs(Tables(spark, sf_dir)), frames[0]))
 
 
 @register("li_lint_summary", "WITH " + ",\n".join(_LINT_CTES + [_FINDINGS]) + """

@@ -37,3 +37,4 @@ def load_all() -> None:
     from . import queries_membership  # noqa: F401
     from . import queries_snapshots  # noqa: F401
     from . import queries_packs  # noqa: F401
+    from . import queries_bulk  # noqa: F401

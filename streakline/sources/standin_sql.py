@@ -204,14 +204,30 @@ _STMT = (f"concat('SELECT count(*) FROM ${{team_schema}}.orders WHERE supplier =
 
 CATALOG_VALIDATORS = f"""catalog_validators AS (
   SELECT s_suppkey AS task_id, 1 AS validator_id, 'sql_assertion' AS type, 'sync' AS mode, '>=' AS operator,
-         {_STMT} AS statement FROM supplier
+         {_STMT} AS statement FROM supplier WHERE s_nationkey <> {S.NO_VALIDATOR_NATION}
   UNION ALL
   SELECT s_suppkey, 2,
          CASE WHEN s_acctbal < 0 THEN 'manual' WHEN s_acctbal > {S.UNKNOWN_TYPE_ABOVE} THEN 'custom_probe'
               ELSE 'sql_assertion' END,
          CASE WHEN s_acctbal BETWEEN {S.BAD_MODE_RANGE[0]} AND {S.BAD_MODE_RANGE[1]} THEN 'batch' ELSE 'async' END,
          CASE WHEN s_acctbal BETWEEN {S.BAD_OPERATOR_RANGE[0]} AND {S.BAD_OPERATOR_RANGE[1]} THEN 'approx' ELSE 'contains' END,
-         {_STMT} FROM supplier)"""
+         {_STMT} FROM supplier WHERE s_nationkey <> {S.NO_VALIDATOR_NATION})"""
+
+INVENTORY = """inventory AS (
+  SELECT 'dashboard' AS object_kind, p_partkey AS place, p_name AS name,
+         CASE WHEN p_size < 20 THEN 'active' WHEN p_size < 35 THEN 'DRAFT' ELSE '' END AS state, CAST(NULL AS BOOLEAN) AS scheduled
+  FROM part
+  UNION ALL SELECT 'table', p_partkey, concat_ws('.', p_brand, p_type, CAST(p_partkey AS VARCHAR)), NULL, NULL FROM part
+  UNION ALL SELECT 'genie_space', s_suppkey, s_name, NULL, NULL FROM supplier
+  UNION ALL SELECT 'job', c_custkey, c_name, NULL, CASE WHEN c_acctbal <> 0 THEN c_acctbal > 5000 END FROM customer
+  UNION ALL SELECT 'pipeline', o_orderkey, o_orderpriority || '/' || CAST(o_orderkey AS VARCHAR),
+         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'FAILED' END, NULL FROM orders)"""
+
+ANNOUNCEMENTS = """announcements AS (
+  SELECT n.n_regionkey AS event_id, o.o_orderkey AS announcement_id, 'Order ' || CAST(o.o_orderkey AS VARCHAR) AS title,
+         CASE WHEN o.o_orderpriority = '1-URGENT' THEN 'critical' ELSE 'info' END AS severity,
+         CAST(o.o_orderdate AS TIMESTAMP) AS created_at
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 CATALOG_HINTS = f"""catalog_hints AS (
   SELECT k.task_id, k.task_id AS hint_id,

@@ -400,6 +400,7 @@ BAD_OPERATOR_RANGE = (0, 500)
 BAD_MODE_RANGE = (5000, 5100)
 BAD_TEMPLATE_NATION = 7
 BONUS_HINT_ABOVE = 9500
+NO_VALIDATOR_NATION = 11           # its tasks have no validators; those of suppliers in debt are passed by hand
 
 
 def catalog_quests(t: Tables) -> DataFrame:
@@ -417,7 +418,7 @@ def catalog_quests(t: Tables) -> DataFrame:
 
 
 def catalog_validators(t: Tables) -> DataFrame:
-    s = t.get("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
+    s = t.get("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]).filter(F.col("s_nationkey") != NO_VALIDATOR_NATION)
     bal = F.col("s_acctbal")
     stmt = F.concat(F.lit("SELECT count(*) FROM ${team_schema}.orders WHERE supplier = "),
                     F.col("s_suppkey").cast("string"),
@@ -435,6 +436,56 @@ def catalog_validators(t: Tables) -> DataFrame:
     return v1.unionByName(v2)
 
 
+def catalog_tasks(t: Tables) -> DataFrame:
+    """Tasks as the lint reads them."""
+    s = t.get("supplier", ["s_suppkey", "s_acctbal"])
+    k = tasks(t).select("pack_version_id", "quest_id", "task_id", "task_slug", "points")
+    return k.join(s, k.task_id == s.s_suppkey).withColumn("manual_validation_required", F.col("s_acctbal") < 0).drop(
+        "s_suppkey", "s_acctbal")
+
+
+def catalog_packs(t: Tables) -> DataFrame:
+    """A pack a region; only the first one has quests, one has a bad slug and one no version."""
+    return t.get("region", ["r_regionkey", "r_name"]).select(
+        (F.col("r_regionkey") + PACK_VERSION).alias("pack_version_id"), F.lower("r_name").alias("pack_slug"),
+        F.when(F.col("r_regionkey") == 2, F.lit(" ")).otherwise(F.lit("1.0")).alias("version"))
+
+
+def inventory(t: Tables) -> DataFrame:
+    """Objects of a workspace: parts as dashboards and tables, suppliers, customers and orders as the rest."""
+    none = F.lit(None)
+    part = t.get("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+
+    def rows(df, kind, place, name, state=none.cast("string"), scheduled=none.cast("boolean")):
+        return df.select(F.lit(kind).alias("object_kind"), F.col(place).cast("long").alias("place"), name.alias("name"),
+                         state.alias("state"), scheduled.alias("scheduled"))
+
+    dash = F.when(F.col("p_size") < 20, F.lit("active")).when(F.col("p_size") < 35, F.lit("DRAFT")).otherwise(F.lit(""))
+    done = F.when(F.col("o_orderstatus") == "F", F.lit("Completed")).when(F.col("o_orderstatus") == "P", F.lit("FAILED"))
+    out = rows(part, "dashboard", "p_partkey", F.col("p_name"), dash)
+    for more in (
+            rows(part, "table", "p_partkey", F.concat_ws(".", "p_brand", "p_type", F.col("p_partkey").cast("string"))),
+            rows(t.get("supplier", ["s_suppkey", "s_name"]), "genie_space", "s_suppkey", F.col("s_name")),
+            rows(t.get("customer", ["c_custkey", "c_name", "c_acctbal"]), "job", "c_custkey", F.col("c_name"),
+                 scheduled=F.when(F.col("c_acctbal") != 0, F.col("c_acctbal") > 5000)),
+            rows(t.get("orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"]), "pipeline", "o_orderkey",
+                 F.concat(F.col("o_orderpriority"), F.lit("/"), F.col("o_orderkey").cast("string")), done)):
+        out = out.unionByName(more)
+    return out
+
+
+def announcements(t: Tables) -> DataFrame:
+    """Announcements of events: an order each."""
+    o = t.get("orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    c = t.get("customer", ["c_custkey", "c_nationkey"])
+    n = t.get("nation", ["n_nationkey", "n_regionkey"])
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("n_regionkey").alias("event_id"), F.col("o_orderkey").alias("announcement_id"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("critical")).otherwise(F.lit("info")).alias("severity"),
+        _ts("o_orderdate").alias("created_at"))
+
+
 def catalog_hints(t: Tables) -> DataFrame:
     k = tasks(t).select("task_id", "hint_penalty")
     s = t.get("supplier", ["s_suppkey", "s_acctbal"])
