@@ -21,10 +21,11 @@ at most ``(a + b) / 7`` shingles.
   quarter of the union differs, so some arc between two differing shingles
   holds three common ones.
 * Join. Signatures that only one class has are dropped. Members are verified
-  against two hubs of their signature first and linked into components, then,
-  in a few rounds, against a member of the largest component there, so that a
-  large group of near copies costs a few checks a member and never all of its
-  pairs. Only signatures whose members still lie in different components
+  against two hubs first, the outermost ones of all their signatures, and linked
+  into components, then, in a few rounds, against a member of the largest
+  component that one of their signatures holds. So a class costs a few checks,
+  however many signatures it shares, and a large group of near copies never all
+  of its pairs. Only signatures whose members still lie in different components
   are joined in pairs, across components, and of those only pairs pass whose
   bit sketches (one parity bit a bucket) lie within the bound: their Hamming
   distance never exceeds the symmetric difference. Differing shingles that
@@ -43,7 +44,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streakline.llm import textblocks as tb
@@ -53,8 +54,9 @@ from streakline.llm.shared import Scratch, map_arrow
 BASE = 96
 RANGES = 64
 WIDE = 2048
-HUB_ROUNDS = 1
-_SKETCH_SCHEMA = ("doc_id long, n_shingles long, cls long, main boolean, band int, "
+HUB_ROUNDS = 3
+BROADCAST_ROWS = 1 << 21  # rows of two numbers that may go to every executor: 32 MB
+_SKETCH_SCHEMA = ("doc_id long, mark long, n_shingles long, cls long, main boolean, band int, "
                   "keys array<long>, bits array<long>")
 _U = np.uint64
 
@@ -129,7 +131,7 @@ def _sketch_rows(k: int):
 
     def rows(batches):
         for batch in batches:
-            ids = batch.column(0)
+            ids, marks = batch.column(0), batch.column(2)
             for block in tb.blocks(batch.column(1)):
                 row, n, cls, main, band, keys, bits = [], [], [], [], [], [], []
                 for i, u in enumerate(shingle_sets(block, k, sep)):
@@ -139,10 +141,10 @@ def _sketch_rows(k: int):
                         band.append(b), keys.append(ks.view(np.int64)), bits.append(bs)
                 off = lambda parts: np.cumsum([0, *map(len, parts)])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(main),
+                    [ids.take(pa.array(row)), marks.take(pa.array(row)), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(main),
                      pa.array(band, pa.int32()), tb.lists(np.concatenate(keys), off(keys), pa.int64()),
                      tb.lists(np.concatenate(bits), off(bits), pa.int64())],
-                    names=["doc_id", "n_shingles", "cls", "main", "band", "keys", "bits"])
+                    names=["doc_id", "mark", "n_shingles", "cls", "main", "band", "keys", "bits"])
 
     return rows
 
@@ -199,24 +201,34 @@ def _stars(labels: DataFrame) -> DataFrame:
     return labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                       percent: int = 75) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, class_id) of all documents; see the module text.
+def _with_sizes(m: DataFrame, labels: DataFrame) -> DataFrame:
+    """``m`` with the size of each row's component.
 
-    ``percent`` is the similarity threshold; the sketches are built for 75 and
-    also serve every higher one.
+    Components of more than a thousandth of all classes are at most a thousand:
+    their sizes are broadcast, so no key of the shuffled join is a large one.
     """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    j = m.join(F.broadcast(sizes.where(F.col("size") > labels.count() // 1000)), "label", "left")
+    rest = j.where("size is null").drop("size").join(sizes, "label", "left").withColumn(
+        "size", F.coalesce("size", F.lit(1)))
+    return j.where("size is not null").unionByName(rest)
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, Scratch]:
+    """Rows (doc_id, mark, n_shingles, cls, label) of all documents; mark: a hash of the text; label: the component."""
     if percent < 75:
         raise ValueError("the sketches guarantee links from 75 percent on")
     spark = docs.sparkSession
     run = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sk = run.keep(map_arrow(docs, _sketch_rows(k), _SKETCH_SCHEMA), "sketches")
-    heads = (sk.where("main").groupBy("cls").agg(F.min("doc_id").alias("head"), F.max("n_shingles").alias("n")))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sk = run.keep(map_arrow(docs.withColumn("mark", F.xxhash64("text")), _sketch_rows(k), _SKETCH_SCHEMA), "sketches")
+    rows = run.keep(sk.where("main").select("doc_id", "mark", "n_shingles", "cls"), "rows")
+    heads = rows.groupBy("cls").agg(F.min("doc_id").alias("head"))
     # one row a class and band: copies collapse here, before any key is made
     bands = (sk.where("band >= -1").groupBy("cls", "band")
              .agg(F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")))
     bands = run.keep(bands, "classes")
+    run.drop("sketches")
     keys = bands.select("cls", "band", F.explode("keys").alias("key"))
     shared = (keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("far"))
               .where("hub <> far"))
@@ -226,7 +238,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = members.select("cls").distinct().join(heads, "cls").select(F.col("head").alias("doc_id")).distinct()
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = run.keep(map_arrow(texts, _set_rows(k), "cls long, grams array<long>").dropDuplicates(["cls"]), "sets")
-    marks = bands.select("cls", "band", "n", "bits")
+    marks = run.keep(bands.select("cls", "band", "n", "bits").join(
+        members.select("cls", "band").distinct(), ["cls", "band"], "left_semi"), "marks")
+    run.drop("classes")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Of (a, b, band), the ordered distinct pairs whose sizes and parity bits allow the threshold."""
@@ -243,23 +257,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         two = m.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
         return m.join(two.select("key"), "key", "left_semi")
 
-    # every member against two hubs of its signature
-    first = members.select(F.col("hub").alias("a"), F.col("cls").alias("b"), "band").union(
-        members.select(F.col("far").alias("a"), F.col("cls").alias("b"), "band"))
+    # every class against two hubs, whatever the number of its signatures
+    ends = members.groupBy("cls", "band").agg(F.min("hub").alias("hub"), F.max("far").alias("far"))
+    first = ends.select(F.col("hub").alias("a"), F.col("cls").alias("b"), "band").union(
+        ends.select(F.col("far").alias("a"), F.col("cls").alias("b"), "band"))
     tested = run.keep(possible(first), "tested0")
     links = run.keep(_verified(tested, sets, percent), "links0")
     labels = components(links, run, "comp0")
-    # then against a member of the largest component in the signature, another one in each signature
+    # then against a member of the largest component in one of its signatures, another one in each round
     for r in range(1, HUB_ROUNDS + 1):
         m = run.keep(mixed(labels), f"mixed{r}")
-        sizes = m.select("cls", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        hubs = m.join(sizes, "label").groupBy("key").agg(F.max(F.struct(
+        hubs = _with_sizes(m, labels).groupBy("key").agg(F.max(F.struct(
             "size", "label", F.xxhash64("cls", "key", F.lit(r)).alias("h"), "cls")).alias("hub"))
         pairs = (m.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
+                 .groupBy("cls", "band").agg(F.max("hub").alias("hub"))
                  .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), "band"))
         new = run.keep(possible(pairs).join(tested, ["a", "b"], "left_anti"), f"tested{r}")
         tested = tested.union(new)
         found = run.keep(_verified(new, sets, percent), f"links{r}")
+        run.drop(f"mixed{r}")
         if found.isEmpty():
             break
         links = _stars(labels).union(found)
@@ -275,9 +291,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = run.keep(_stars(labels).union(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets, percent)), "links")
     labels = components(links, run, "comp")
 
-    out = (sk.where("main").select("doc_id", "n_shingles", "cls")
-           .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-           .withColumn("label", F.coalesce("label", "cls")))
+    for name in ("members", "left", "sets", "marks"):  # all that reads them is written
+        run.drop(name)
+    out = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+        "label", F.coalesce("label", "cls"))
+    return out.select("doc_id", "mark", "n_shingles", "cls", "label"), run
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
+                       percent: int = 75) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, class_id) of all documents; see the module text.
+
+    ``percent`` is the similarity threshold; the sketches are built for 75 and
+    also serve every higher one.
+    """
+    out, _ = _labelled(docs, id_col, text_col, k, percent)
     smallest = out.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("low"))
     return (out.join(smallest, "label", "left")
             .select("doc_id", "n_shingles",
@@ -285,24 +313,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.col("cls").alias("class_id")))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def near_duplicates_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                         percent: int = 75) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id.
+    """One document of each group of near duplicates stays: the one with the smallest id (null ids last).
 
-    Rows without words stay. Of repeated rows of a kept id one stays (the smallest
-    text); rows without id stay, one of each distinct text. All columns pass through.
+    Decisions are made by row, that is by id and text: of several texts under one
+    id each is judged with its own group. Of texts of a group under the same
+    smallest id the one with the least hash stays, and of equal rows one. Rows
+    without words all stay. All columns pass through.
     """
-    comp = jaccard_components(docs, id_col, text_col, k, percent)
-    keep = (comp.where("n_shingles = 0 or doc_id = component_id or doc_id is null")
-            .groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n")))
-    once = keep.where("__n = 1 and __keep is not null").select("__keep")
-    more = keep.where("__n > 1 or __keep is null").select("__keep")
-    key = docs[id_col].cast("long")
-    single = docs.join(once, key == once["__keep"], "left_semi")
-    w = Window.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(text_col)
-    rest = (docs.join(more, key.eqNullSafe(more["__keep"]), "left_semi")
-            .withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row"))
-    return single.unionByName(rest)
+    rows, run = _labelled(docs, id_col, text_col, k, percent)
+    rows = run.keep(rows, "labelled")
+    worded = rows.where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    best = worded.groupBy("label").agg(F.min(order).alias("best"))
+    of = worded.groupBy("doc_id", "mark", "label").agg(F.count(F.lit(1)).alias("n")).join(best, "label")
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    judged = run.keep(of.select("doc_id", "mark", first.alias("first"), "n").where("not first or n > 1"), "judged")
+    i, t = _free(docs, "id"), _free(docs, "mark")
+    keyed = docs.withColumn(t, F.xxhash64(F.col(text_col).cast("string"))).withColumn(i, F.col(id_col).cast("long"))
+    # a row or more of a pair of numbers: to every executor up to a size, else both sides move
+    judged = judged.select(F.col("doc_id").alias("jid"), F.col("mark").alias("jmark"), "first")
+    small = (lambda df: F.broadcast(df)) if judged.count() <= BROADCAST_ROWS else (lambda df: df)
+
+    def on(side: DataFrame):
+        return keyed[i].eqNullSafe(side["jid"]) & (keyed[t] == side["jmark"])
+
+    several = judged.where("first")
+    stay = keyed.join(small(judged), on(judged), "left_anti").drop(i, t)
+    # of equal rows one: few rows, unless a text without id is repeated very often
+    picked = keyed.join(small(several), on(several), "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    one = picked.groupBy(i, t).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.to_json(F.struct(*others))).alias("r")).select("r.*")
+    return stay.unionByName(one)
 
 
 def query(spark, sf_dir):

@@ -30,6 +30,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Delete a table that nothing will read again: all that was made from it must be written."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
 
 _SHIPPED: set[str] = set()
 

@@ -494,3 +494,32 @@ def test_empty_tables(none, spark):
     assert packing.pack_documents(none).count() == 0
     assert line_dedup.remove_boilerplate(none).count() == 0
     assert pii.digests(pii.find_spans(none)).count() == 0
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten",
+               "red green blue white black pink grey brown gold teal")
+    rows = [(1, a, 0), (2, b, 0), (2, c, 0), (3, b + " x", 0)]
+    schema = "doc_id long, text string, mark int"
+    out = ngram_jaccard.near_duplicates_out(spark.createDataFrame(rows, schema))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(rows[:3])
+    rows = [(1, a, 0), (2, a + " x", 0), (2, b, 0)]
+    assert sorted(tuple(r) for r in ngram_jaccard.near_duplicates_out(spark.createDataFrame(rows, schema)).collect()) == [
+        (1, a, 0), (2, b, 0)]
+    # equal rows, null ids, no words; of the same text under the same id one stays
+    rows = [(5, a, 2), (5, a, 1), (None, a, 3), (None, b, 4), (None, b, 5), (7, None, 6), (7, None, 6), (8, " ", 7), (None, "", 8)]
+    got = ngram_jaccard.near_duplicates_out(spark.createDataFrame(rows, schema)).collect()
+    key = lambda r: str(r)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(
+        [(5, a, 1), (None, b, 4), (7, None, 6), (7, None, 6), (8, " ", 7), (None, "", 8)], key=key)
+
+
+def test_near_duplicates_with_clashing_names(spark):
+    names = ["id", "_id", "mark", "first", "jid", "jmark", "r", "label", "cls", "best", "n", "__row", "__keep", "doc id.x"]
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z")], "doc_id long, text string")
+    for i, n in enumerate(names):
+        df = df.withColumn(n, F.lit(i))
+    out = ngram_jaccard.near_duplicates_out(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    none = ngram_jaccard.near_duplicates_out(df.where("false"))
+    assert none.columns == df.columns and none.collect() == []
