@@ -55,6 +55,7 @@ BASE = 96
 RANGES = 64
 WIDE = 2048
 HUB_ROUNDS = 3
+BLOCK = tb.BLOCK_BYTES // 4  # bytes of texts worked on at a time
 BROADCAST_ROWS = 1 << 21  # rows of two numbers that may go to every executor: 32 MB
 _SKETCH_SCHEMA = ("doc_id long, mark long, n_shingles long, cls long, main boolean, band int, "
                   "keys array<long>, bits array<long>")
@@ -132,7 +133,7 @@ def _sketch_rows(k: int):
     def rows(batches):
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2)
-            for block in tb.blocks(batch.column(1)):
+            for block in tb.blocks(batch.column(1), BLOCK):
                 row, n, cls, main, band, keys, bits = [], [], [], [], [], [], []
                 for i, u in enumerate(shingle_sets(block, k, sep)):
                     c = _class_of(u)
@@ -154,7 +155,7 @@ def _set_rows(k: int):
 
     def rows(batches):
         for batch in batches:
-            for block in tb.blocks(batch.column(0)):
+            for block in tb.blocks(batch.column(0), BLOCK):
                 sets = list(shingle_sets(block, k, sep))
                 off = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays(
