@@ -5,15 +5,17 @@
    A block longer than ``MAX_BLOCK`` characters is cut into overlapping blocks,
    so long texts are scanned whole in bounded steps.
 2. Ranking. Each block is compressed alone and once with every template as raw
-   zstandard dictionary. The bytes saved, as a share of the block's compressed
-   size, rank the templates.
+   zstandard dictionary; the share of bytes saved orders the templates.
 3. Confirmation. Every template of whose words the block holds enough is
    compared word by word with the block, at each place where a run of its words
-   lies that is as long as it must hold: the aligned stretch of the block must hold the template with at
-   most ``MAX_DIFFERENT`` of its words added, missing or changed. Numbers
-   (versions) must agree exactly. The block takes the license with the fewest
-   differences, ties by rank; other licenses that hold in another stretch of
-   the block count as well.
+   lies that is as long as it must hold. The least number of words added,
+   missing or changed (a banded edit distance) must be at most
+   ``MAX_DIFFERENT`` of the template's words, and numbers (versions) must agree
+   exactly. Nothing within that bound is missed.
+4. Winners. The stretch of a confirmed template is compressed alone and with
+   the template; the bytes saved rank the templates. Of those that overlap the
+   best one within ``NOISE`` bytes of it, the one with the fewest differing
+   words wins. Licenses that hold in other stretches of the block count as well.
 
 Texts without a candidate word (decided by one pattern in the JVM) never reach
 Python.
@@ -28,7 +30,6 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections import Counter, defaultdict
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ MAX_BLOCK = 4000
 OVERLAP = 1000
 MAX_DIFFERENT = 0.1
 LEVEL = 3
+NOISE = 16  # bytes: what a word or two in another place cost
 _SCHEMA = ("doc_id long, n_blocks long, licenses string, n_confirmed long, n_different long, best_saving double, "
            "spans array<struct<license:string,start:int,end:int,different:int,saving:double>>")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -64,6 +66,33 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _nearer(x: tuple[int, int]) -> tuple[int, int]:
+    return -x[0], x[1]
+
+
+def _overlapping(held) -> list[list[tuple]]:
+    """(start, end, ..) rows in groups that overlap, directly or through others; blocks that overlap meet here as well."""
+    groups, reach = [], -1
+    for x in sorted(held):
+        if x[0] >= reach:
+            groups.append([])
+        groups[-1].append(x)
+        reach = max(reach, x[1])
+    return groups
+
+
+def _winners(group: list[tuple]) -> list[tuple]:
+    """(license, start, end, different, saving) of rows (start, end, saved, different, rank, license, saving)."""
+    out = []
+    while group:
+        top = max(group, key=lambda x: (x[2], -x[3], -x[4], -x[0]))
+        near = [x for x in group if x[0] < top[1] and top[0] < x[1] and x[2] >= top[2] - NOISE]
+        best = min(near, key=lambda x: (x[3], -x[2], x[4], x[0]))
+        out.append((best[5], best[0], best[1], best[3], best[6]))
+        group = [x for x in group if x[0] >= best[1] or best[0] >= x[1]]
+    return out
+
+
 class Scanner:
     """Compressors of the templates and their words."""
 
@@ -107,26 +136,44 @@ class Scanner:
         return sorted(found)
 
     def confirm(self, i: int, have: list[str], at: int) -> tuple[int, int, int] | None:
-        """(different words, first, last word of the stretch) if the block holds template ``i`` at about word ``at``."""
+        """(different words, first, last word of the stretch) if the block holds template ``i`` at about word ``at``.
+
+        Edit distance of the template to any stretch of the block, within ``k`` places of ``at``: no alignment
+        with at most ``k`` edits that passes ``at`` leaves that band. Of stretches as near the shortest wins.
+        """
         want = self.templates[i][1]
-        # the stretch that the template would cover, a little wider
-        slack = 1 + int(len(want) * MAX_DIFFERENT)
-        lo, hi = max(0, at - slack), at + len(want) + slack
-        part = have[lo:hi]
-        ops = [o for o in SequenceMatcher(None, want, part, autojunk=False).get_opcodes()]
-        same = [o for o in ops if o[0] == "equal"]
-        if not same:
-            return None
-        first, last = same[0][3], same[-1][4]
-        different, numbers = 0, True
-        for tag, a, b, c, d in ops:
-            c, d = max(c, first), min(max(d, first), last)
-            if tag != "equal":
-                different += max(b - a, d - c, 0)
-                numbers &= [w for w in want[a:b] if w[0].isdigit()] == [w for w in part[c:d] if w[0].isdigit()]
-        if not numbers or different > MAX_DIFFERENT * len(want):
+        if have[max(at, 0):at + len(want)] == want:
+            return 0, at, at + len(want) - 1
+        k = int(MAX_DIFFERENT * len(want))
+        never = (k + 1, 0)
+        # row[j]: (edits, minus the first word) of the template so far, up to word at + words so far + j - k
+        row = [(0, -p) if 0 <= p <= len(have) else never for p in range(at - k, at + k + 1)]
+        for a, w in enumerate(want):
+            fixed, new = w[0].isdigit(), []
+            for j in range(2 * k + 1):
+                p = at + a + j - k  # the word of the block beside ``w``
+                best = never
+                if 0 <= p < len(have):
+                    if have[p] == w:
+                        best = row[j]
+                    elif not fixed and not have[p][0].isdigit():
+                        best = (row[j][0] + 1, row[j][1])
+                    if j and not have[p][0].isdigit():
+                        best = max(best, (new[j - 1][0] + 1, new[j - 1][1]), key=_nearer)
+                if not fixed and j < 2 * k:
+                    best = max(best, (row[j + 1][0] + 1, row[j + 1][1]), key=_nearer)
+                new.append(best)
+            row = new
+        ends = [(e, at + len(want) + j - k, -s) for j, (e, s) in enumerate(row) if e <= k]
+        if not ends:
             return None
-        return different, lo + first, lo + last - 1
+        different, end, first = min(ends, key=lambda x: (x[0], x[1] - x[2], x[1]))
+        return (different, first, end - 1) if end > first else None
+
+    def saved(self, i: int, stretch: str) -> int:
+        """Bytes by which template ``i`` as a dictionary shortens a stretch."""
+        data = stretch.encode()
+        return len(self.plain.compress(data)) - len(self.given[i].compress(data))
 
     def scan(self, text: str):
         """(blocks, confirmed spans, best saving)."""
@@ -146,13 +193,9 @@ class Scanner:
                 if self.could_hold(i, bag):
                     name, want = self.templates[i]
                     for hit in {self.confirm(i, have, at) for at in self.offsets(i, spots)} - {None}:
-                        held.add((hit[0], -len(want), rank, a + said[hit[1]][1], a + said[hit[2]][2], name, round(saving, 6)))
-        found, taken = [], []  # stretches of blocks that overlap meet here as well
-        for different, _, _, start, end, name, saving in sorted(held):
-            k = bisect(taken, (start, end))
-            if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
-                taken.insert(k, (start, end))
-                found.append((name, start, end, different, saving))
+                        start, end = said[hit[1]][1], said[hit[2]][2]
+                        held.add((a + start, a + end, self.saved(i, block[start:end]), hit[0], rank, name, round(saving, 6)))
+        found = [x for group in _overlapping(held) for x in _winners(group)]
         return len(cand), sorted(found, key=lambda x: x[1:]), best
 
 
