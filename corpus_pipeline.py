@@ -4,7 +4,8 @@ Each stage works on all that its predecessor kept and is written as Parquet
 before the next one reads it. Documents in no known language go, lines that
 many sources carry go, one document of each group of near duplicates stays,
 documents with a benchmark passage go, and the rest is packed into training
-sequences. A stage has no SQL twin: language ID is a fitted model and best-fit
+sequences. Nulls, empty texts, repeated rows, empty tables and columns of any
+name are handled as the operators' docstrings say. A stage has no SQL twin: language ID is a fitted model and best-fit
 packing is a procedure.
 """
 
@@ -19,7 +20,7 @@ def language(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    return line_dedup.remove_boilerplate(docs).drop("__lines", "__gone")
+    return line_dedup.remove_boilerplate(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark, docs, sf_dir):

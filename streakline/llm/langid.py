@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streakline.llm import textblocks as tb
-from streakline.llm.shared import Scratch, map_arrow
+from streakline.llm.shared import Scratch, free_name, map_arrow
 
 LANGUAGES = ("en", "de", "fr", "es")
 BINS = 1 << 13
@@ -227,14 +227,17 @@ def document_items(docs: DataFrame, lang_col: str = "lang", source_col: str = "s
 def in_known_language(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns as they are.
 
-    Rows that agree in id, text, language and source share one decision.
+    Rows that agree in id, text, language and source share one decision. Other
+    columns may have any name.
     """
     mark = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text", "lang", "source")])
     items = document_items(docs).withColumn("mark", F.xxhash64(*[
         F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text", "declared", "host")]))
     run = Scratch(docs.sparkSession, "langid-out")
-    out = run.keep(identify(items, ["mark"]).where("not kept").select(F.col("mark").alias("__mark")).distinct(), "rejected")
-    return docs.withColumn("__m", mark).join(out, F.col("__m") == F.col("__mark"), "left_anti").drop("__m")
+    out = run.keep(identify(items, ["mark"]).where("not kept").select("mark").distinct(), "rejected")
+    m = free_name(docs, "mark")
+    return docs.withColumn(m, mark).join(out.withColumnRenamed("mark", m), m, "left_anti").select(
+        *[f"`{c}`" for c in docs.columns])
 
 
 def query(spark, sf_dir):

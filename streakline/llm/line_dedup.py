@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streakline.llm import textblocks as tb
-from streakline.llm.shared import Scratch, map_arrow
+from streakline.llm.shared import Scratch, free_name, map_arrow
 
 MIN_SITES = 10
 MARGIN = 0.1
@@ -95,15 +95,15 @@ def _without(text: str | None, gone: np.ndarray) -> str | None:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
 
 
-def _cut_batch(batch, at: int, texts: list, n_lines, n_gone):
+def _cut_batch(batch, at: int, texts: list, n_lines, n_gone, names):
     cols = [batch.column(i) for i in range(batch.num_columns - 2)]
     cols[at] = pa.array(texts, pa.string())
     return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())],
-                                      names=[*batch.schema.names[:-2], "__lines", "__gone"])
+                                      names=names)
 
 
-def _cut_by_list(shared, at: int):
-    """Rows with (.., __doc, __t) lose the shared lines."""
+def _cut_by_list(shared, at: int, names):
+    """Rows with (.., id, text hash) lose the shared lines."""
     def rows(batches):
         line, first = shared.value
         for batch in batches:
@@ -124,26 +124,30 @@ def _cut_by_list(shared, at: int):
                     gone = pos[own == r] if len(own) < 64 else pos[np.searchsorted(own, r):np.searchsorted(own, r, "right")]
                     texts[r], n_gone[r] = _without(col[r], gone), len(gone)
             total[[i for i, x in enumerate(col) if x is None]] = 0
-            yield _cut_batch(batch, at, texts, total, n_gone)
+            yield _cut_batch(batch, at, texts, total, n_gone, names)
 
     return rows
 
 
-def _cut_by_join(at: int):
-    """Rows with (.., __cut, __none) lose the lines at the places of ``__cut``."""
+def _cut_by_join(at: int, names):
+    """Rows with (.., places, 0) lose the lines at these places."""
     def rows(batches):
         for batch in batches:
             col = batch.column(at).to_pylist()
             cut = [np.unique(np.array(x or [], np.int64)) for x in batch.column(batch.num_columns - 2).to_pylist()]
             yield _cut_batch(batch, at, [_without(x, c) for x, c in zip(col, cut, strict=True)],
-                             [0 if x is None else x.count("\n") + 1 for x in col], [len(c) for c in cut])
+                             [0 if x is None else x.count("\n") + 1 for x in col], [len(c) for c in cut], names)
 
     return rows
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
                        site_col: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """All columns of ``docs`` with boilerplate cut out of the text, and __lines, __gone (lines before, lines cut)."""
+    """All columns of ``docs`` with boilerplate cut out of the text, and __lines, __gone (lines before, lines cut).
+
+    These two are always the last columns; where ``docs`` has such a column, the
+    added one takes more underscores.
+    """
     spark = docs.sparkSession
     run = Scratch(spark, "lines")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
@@ -153,25 +157,31 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     lines = run.keep(map_arrow(src, _line_rows, "line long, site long, doc long, t long, pos int"), "lines")
     first = boilerplate(lines, run, min_sites)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema, T.StructField("__lines", T.LongType()), T.StructField("__gone", T.LongType())])
+    free = lambda x: free_name(docs, x)
+    schema = T.StructType([*docs.schema, *[T.StructField(free(x), T.LongType()) for x in ("__lines", "__gone")]])
+    names = schema.names
+    numbered = [f"c{i}" for i in range(len(names))]  # columns reach Python by number: their names may hold dots
     if first.count() <= broadcast_lines:
         got = first.orderBy("line").toArrow()  # at most broadcast_lines rows of 28 bytes
         line = np.asarray(got.column("line").combine_chunks()).astype(np.int64)
         place = np.stack([np.asarray(got.column(c).combine_chunks()).astype(np.int64) for c in ("doc", "t", "pos")], 1)
         shared = spark.sparkContext.broadcast((line, place))
-        return map_arrow(docs.withColumn("__doc", doc).withColumn("__t", t), _cut_by_list(shared, at), schema)
+        keyed = docs.select("*", doc.alias(free("__doc")), t.alias(free("__t"))).toDF(*numbered)
+        return map_arrow(keyed, _cut_by_list(shared, at, names), schema)
     hits = lines.join(first.select("line", F.struct("doc", "t", "pos").alias("f")), "line")
     cut = (hits.where(F.struct("doc", "t", "pos") != F.col("f"))
-           .groupBy(F.col("doc").alias("__cd"), F.col("t").alias("__ct")).agg(F.collect_set("pos").alias("__cut")))
-    joined = docs.join(cut, (doc == F.col("__cd")) & (t == F.col("__ct")), "left")
-    return map_arrow(joined.select(*[docs[c] for c in docs.columns], "__cut", F.lit(0).alias("__none")),
-                     _cut_by_join(at), schema)
+           .groupBy(F.col("doc").alias(free("__cd")), F.col("t").alias(free("__ct")))
+           .agg(F.collect_set("pos").alias(free("__cut"))))
+    joined = docs.join(cut, (doc == cut[free("__cd")]) & (t == cut[free("__ct")]), "left")
+    joined = joined.select(*[f"`{c}`" for c in docs.columns], free("__cut"), F.lit(0).alias(free("__none")))
+    return map_arrow(joined.toDF(*numbered), _cut_by_join(at, names), schema)
 
 
 def query(spark, sf_dir):
     """Every document without the lines that ten or more sources carry."""
     out = remove_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"),
+    lines, gone = out.columns[-2:]
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(gone).alias("n_removed"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -523,3 +523,25 @@ def test_near_duplicates_with_clashing_names(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
     none = ngram_jaccard.near_duplicates_out(df.where("false"))
     assert none.columns == df.columns and none.collect() == []
+
+
+@pytest.mark.parametrize("bound", [line_dedup.BROADCAST_LINES, 0])
+def test_lines_and_languages_with_clashing_names(spark, bound):
+    names = ["__doc", "__t", "__lines", "__GONE", "__cut", "__cd", "__ct", "__none", "__m", "__mark", "mark", "doc id.x"]
+    df = spark.createDataFrame([(1, EN + "\nmenu", "en", "a"), (2, EN + "x\nmenu", "en", "b")],
+                               "doc_id long, text string, lang string, source string")
+    for i, n in enumerate(names):
+        df = df.withColumn(n, F.lit(i))
+    out = line_dedup.remove_boilerplate(df, 2, broadcast_lines=bound)
+    assert out.columns == [*df.columns, "___lines", "___gone"]
+    assert sorted((r["doc_id"], r["__lines"], r["doc id.x"], r["___gone"]) for r in out.collect()) == [(1, 2, 11, 0), (2, 2, 11, 1)]
+    known = langid.in_known_language(df)
+    assert known.columns == df.columns and known.count() == 2
+
+
+def test_seeds_are_not_lifted_from_documents(spark):
+    """No made seed value stands in the documents."""
+    made = [x for _, _, _, x in pii.SEEDS if sum(c.isalnum() for c in x) >= 10 and any(c.isdigit() for c in x)]
+    found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(
+        " or ".join(f"contains(text, '{x}')" for x in sorted(set(made))))
+    assert found.count() == 0
