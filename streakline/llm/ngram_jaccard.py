@@ -20,10 +20,11 @@ at most ``(a + b) / 7`` shingles.
   hash order instead. A linked pair shares such a triple always: at most a
   quarter of the union differs, so some arc between two differing shingles
   holds three common ones.
-* Join. Signatures that only one class has are dropped. Members are verified
+* Join. Signatures that only one class has are dropped, and of those with the
+  same members one stays. Members are verified
   against two hubs first, the outermost ones of all their signatures, and linked
-  into components, then, in a few rounds, against a member of the largest
-  component that one of their signatures holds. So a class costs a few checks,
+  into components, then, in a few rounds, against up to ``HUBS`` members of the
+  largest component that their signatures hold. So a class costs a few checks,
   however many signatures it shares, and a large group of near copies never all
   of its pairs. Only signatures whose members still lie in different components
   are joined in pairs, across components, and of those only pairs pass whose
@@ -49,12 +50,13 @@ from pyspark.sql import functions as F
 
 from streakline.llm import textblocks as tb
 from streakline.llm.components import components
-from streakline.llm.shared import Scratch, map_arrow
+from streakline.llm.shared import Scratch, free_name, map_arrow
 
 BASE = 96
 RANGES = 64
 WIDE = 2048
 HUB_ROUNDS = 3
+HUBS = 8  # members of the largest component that a class meets in a round
 BLOCK = tb.BLOCK_BYTES // 4  # bytes of texts worked on at a time
 BROADCAST_ROWS = 1 << 21  # rows of two numbers that may go to every executor: 32 MB
 _SKETCH_SCHEMA = ("doc_id long, mark long, n_shingles long, cls long, main boolean, band int, "
@@ -231,8 +233,12 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     bands = run.keep(bands, "classes")
     run.drop("sketches")
     keys = bands.select("cls", "band", F.explode("keys").alias("key"))
-    shared = (keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("far"))
-              .where("hub <> far"))
+    # signatures with the same members say the same: one of them stays
+    shared = (keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("far"),
+                                      F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls", "band")).alias("x"),
+                                      F.bit_xor(F.xxhash64("band", "cls")).alias("y"))
+              .where("hub <> far").groupBy("hub", "far", "n", "x", "y").agg(F.min("key").alias("key"))
+              .select("key", "hub", "far"))
     members = run.keep(keys.join(shared, "key"), "members")
 
     # exact sets of the classes that share a signature, from one document of each
@@ -265,14 +271,17 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     tested = run.keep(possible(first), "tested0")
     links = run.keep(_verified(tested, sets, percent), "links0")
     labels = components(links, run, "comp0")
-    # then against a member of the largest component in one of its signatures, another one in each round
+    # then against members of the largest component in its signatures, others in each round
     for r in range(1, HUB_ROUNDS + 1):
         m = run.keep(mixed(labels), f"mixed{r}")
-        hubs = _with_sizes(m, labels).groupBy("key").agg(F.max(F.struct(
-            "size", "label", F.xxhash64("cls", "key", F.lit(r)).alias("h"), "cls")).alias("hub"))
-        pairs = (m.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
-                 .groupBy("cls", "band").agg(F.max("hub").alias("hub"))
-                 .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), "band"))
+        names = [f"hub{j}" for j in range(HUBS)]
+        hubs = _with_sizes(m, labels).groupBy("key").agg(*[F.max(F.struct(
+            "size", "label", F.xxhash64("cls", "key", F.lit(r), F.lit(j)).alias("h"), "cls")).alias(x)
+            for j, x in enumerate(names)])
+        pairs = (m.join(hubs, "key").where(F.col("label") != F.col("hub0.label"))
+                 .groupBy("cls", "band").agg(*[F.max(x).alias(x) for x in names])
+                 .select(F.explode(F.array_distinct(F.array(*[f"{x}.cls" for x in names]))).alias("a"),
+                         F.col("cls").alias("b"), "band"))
         new = run.keep(possible(pairs).join(tested, ["a", "b"], "left_anti"), f"tested{r}")
         tested = tested.union(new)
         found = run.keep(_verified(new, sets, percent), f"links{r}")
@@ -314,14 +323,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.col("cls").alias("class_id")))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have, whatever the case."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def near_duplicates_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                         percent: int = 75) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id (null ids last).
@@ -339,7 +340,7 @@ def near_duplicates_out(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = worded.groupBy("doc_id", "mark", "label").agg(F.count(F.lit(1)).alias("n")).join(best, "label")
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
     judged = run.keep(of.select("doc_id", "mark", first.alias("first"), "n").where("not first or n > 1"), "judged")
-    i, t = _free(docs, "id"), _free(docs, "mark")
+    i, t = free_name(docs, "id"), free_name(docs, "mark")
     keyed = docs.withColumn(t, F.xxhash64(F.col(text_col).cast("string"))).withColumn(i, F.col(id_col).cast("long"))
     # a row or more of a pair of numbers: to every executor up to a size, else both sides move
     judged = judged.select(F.col("doc_id").alias("jid"), F.col("mark").alias("jmark"), "first")
