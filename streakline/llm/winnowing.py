@@ -10,11 +10,14 @@ equal those of an item's window exactly (the words are compared, not only their
 hashes). Items of fewer than ten words are one window of their own length; for
 each such length that occurs, documents are probed with that length.
 
-The benchmark's fingerprints travel to the tasks as sorted arrays, in blocks of
-about ``BLOCK_WORDS`` words of items (measured before; one item at least). A
-benchmark of several blocks is joined block by block, each against all
-documents, and the hit spans of a document are merged: no broadcast grows with
-the benchmark, and documents are never shuffled.
+A benchmark of at most ``BLOCK_WORDS`` words (measured first) travels to the
+tasks as one broadcast index. A larger one stays on the executors: only two
+bitmaps of ``FILTER_BITS`` bits, of its fingerprints and of its windows, are
+broadcast, whose size does not depend on the benchmark. Documents emit the
+windows around fingerprints that the bitmaps hold, and these are joined by their
+words with the items' windows, salted for passages that many documents share.
+Documents are read twice then, and only their hashes are shuffled. The item ids
+of one window, and those of one document, are an array in one row.
 
 Results: one row per input row, repeated rows and rows without id included.
 Null texts, empty texts and texts without words have no words and no hits.
@@ -29,15 +32,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.llm import textblocks as tb
-from streakline.llm.shared import map_arrow
+from streakline.llm.shared import Scratch, free_name, map_arrow
 
 K, W = 5, 6
 SPAN = K + W - 1  # 10 words
-BLOCK_WORDS = 300_000
+BLOCK_WORDS = 300_000  # a benchmark of more words is joined, not broadcast
+FILTER_BITS = 1 << 26  # a power of two
+SALTS = 16
+CHUNK = 8_192          # windows made at a time
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -57,25 +63,16 @@ def fingerprints(grams: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """One block of the benchmark: sorted fingerprints, and windows by hash with their words and items."""
+    """A small benchmark: sorted fingerprints, and windows by hash with their words and items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         col = pa.array([t for _, t in items], pa.string())
         prints, wins, rows, self.words = [], [], [], []
         for block in tb.blocks(col):
-            low, starts, ends, woffs, words = _worded(block)
-            grams, ok = tb.window_hash(words, K), tb.row_windows(woffs, SPAN)
-            prints.append(grams[fingerprints(grams, ok)] if len(ok) else grams[:0])
-            whole = tb.window_hash(words, SPAN)
-            for r in range(block.rows):
-                a, b = int(woffs[r]), int(woffs[r + 1])
-                if b == a:
-                    continue
-                size = min(SPAN, b - a)
-                hashes = whole[a:b - SPAN + 1] if size == SPAN else tb.window_hash(words[a:b], size)
-                for j, h in enumerate(hashes):
-                    wins.append(h), rows.append(block.lo + r)
-                    self.words.append(_said(low.data, starts, ends, a + j, size))
+            worded = _worded(block)
+            prints.append(_prints(worded))
+            for r, _, hashes, said in _item_windows(worded, block.rows):
+                wins.extend(hashes), rows.extend([block.lo + r] * len(said)), self.words.extend(said)
         self.prints = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]))
         order = np.argsort(np.array(wins, np.uint64), kind="stable")
         self.hashes = np.array(wins, np.uint64)[order]
@@ -94,21 +91,73 @@ def _worded(block: tb.Block, sep=tb.separators("alnum")):
     return low, starts, ends, woffs, low.span_hash(low.prefix(), starts, ends)
 
 
+def _prints(worded) -> np.ndarray:
+    """Winnowed fingerprints of all rows of a block."""
+    _, _, _, woffs, words = worded
+    grams, ok = tb.window_hash(words, K), tb.row_windows(woffs, SPAN)
+    return grams[fingerprints(grams, ok)] if len(ok) else grams[:0]
+
+
+def _item_windows(worded, n_rows: int):
+    """(row, size, hashes, words) of the windows of every item, ``CHUNK`` at a time."""
+    low, starts, ends, woffs, words = worded
+    for r in range(n_rows):
+        a, b = int(woffs[r]), int(woffs[r + 1])
+        if b > a:
+            size = min(SPAN, b - a)
+            hashes = tb.window_hash(words[a:b], size)
+            for c in range(0, len(hashes), CHUNK):
+                part = hashes[c:c + CHUNK]
+                yield r, size, part, [_said(low.data, starts, ends, a + c + j, size) for j in range(len(part))]
+
+
+def _candidates(worded, is_print, short: list[int]):
+    """(first words, hashes, size) of the windows around fingerprints that ``is_print`` accepts, and of all short ones."""
+    _, _, _, woffs, words = worded
+    ok = tb.row_windows(woffs, SPAN)
+    if len(ok):
+        grams = tb.window_hash(words, K)
+        at = fingerprints(grams, ok)
+        at = at[is_print(grams[at])]
+        # extend each hit to the windows that hold it
+        first = (at[:, None] - np.arange(W)).ravel()
+        first = np.unique(first[(first >= 0) & (first < len(ok))])
+        first = first[ok[first]]
+        if len(first):
+            seq = np.stack([words[first + j] for j in range(SPAN)])
+            hashes = np.zeros(len(first), np.uint64)
+            for j in range(SPAN):
+                hashes += seq[j] * tb._SEQ[j]
+            yield first, tb.mix(hashes + np.uint64(SPAN)), SPAN
+    for size in short:
+        ok = tb.row_windows(woffs, size)
+        if len(ok):
+            at = np.flatnonzero(ok)
+            yield at, tb.window_hash(words, size)[at], size
+
+
 def find(block: tb.Block, index: Index) -> tuple[np.ndarray, np.ndarray, list[set]]:
     """(word offsets of the rows, mark of every word that is hit, items of each row)."""
-    low, starts, ends, woffs, words = _worded(block)
+    worded = _worded(block)
+    low, starts, ends, woffs, words = worded
     total = len(words)
     row_of = np.repeat(np.arange(block.rows), np.diff(woffs))
     hit, items = np.zeros(total + 1, np.int64), [set() for _ in range(block.rows)]
 
-    def settle(at: np.ndarray, hashes: np.ndarray, size: int) -> None:
-        """Keep the windows whose words an item's window has."""
+    def is_print(grams: np.ndarray) -> np.ndarray:
+        if not len(index.prints):
+            return np.zeros(len(grams), bool)
+        near = np.searchsorted(index.prints, grams)
+        near[near == len(index.prints)] = 0
+        return index.prints[near] == grams
+
+    for at, hashes, size in _candidates(worded, is_print, index.short):
+        # keep the windows whose words an item's window has
         if not len(index.hashes):
-            return
+            continue
         lo = np.searchsorted(index.hashes, hashes)
         lo[lo == len(index.hashes)] = 0
-        found = np.flatnonzero(index.hashes[lo] == hashes)
-        for i in found:
+        for i in np.flatnonzero(index.hashes[lo] == hashes):
             j, said = int(lo[i]), _said(low.data, starts, ends, int(at[i]), size)
             met = False
             while j < len(index.hashes) and index.hashes[j] == hashes[i]:
@@ -119,29 +168,6 @@ def find(block: tb.Block, index: Index) -> tuple[np.ndarray, np.ndarray, list[se
             if met:
                 hit[at[i]] += 1
                 hit[at[i] + size] -= 1
-
-    ok = tb.row_windows(woffs, SPAN)
-    if len(ok) and len(index.prints):
-        grams = tb.window_hash(words, K)
-        at = fingerprints(grams, ok)
-        near = np.searchsorted(index.prints, grams[at])
-        near[near == len(index.prints)] = 0
-        at = at[index.prints[near] == grams[at]]
-        # extend each hit to the windows that hold it
-        first = (at[:, None] - np.arange(W)).ravel()
-        first = np.unique(first[(first >= 0) & (first < len(ok))])
-        first = first[ok[first]]
-        if len(first):
-            seq = np.stack([words[first + j] for j in range(SPAN)])
-            hashes = np.zeros(len(first), np.uint64)
-            for j in range(SPAN):
-                hashes += seq[j] * tb._SEQ[j]
-            settle(first, tb.mix(hashes + np.uint64(SPAN)), SPAN)
-    for size in index.short:
-        ok = tb.row_windows(woffs, size)
-        if len(ok):
-            at = np.flatnonzero(ok)
-            settle(at, tb.window_hash(words, size)[at], size)
     return woffs, np.cumsum(hit[:total]) > 0, items
 
 
@@ -149,15 +175,113 @@ def _digest(ids) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
-def index_blocks(bench: DataFrame, id_col: str, text_col: str, limit: int):
-    """The benchmark's blocks, one at a time."""
-    b = bench.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where(
+def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return bench.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where(
         "item is not null and text is not null").distinct()
-    size = b.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no fewer than its words
-    parts = max(1, int(-(-size // limit)))
-    for p in range(parts):
-        own = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p) if parts > 1 else b
-        yield Index([(r["item"], r["text"]) for r in own.collect()])
+
+
+def _small(items: DataFrame, limit: int) -> bool:
+    size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no fewer than its words
+    return size <= limit
+
+
+def _index(items: DataFrame) -> Index:
+    return Index([(r["item"], r["text"]) for r in items.collect()])
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each remainder of column ``hash``: bits / 8 bytes, however many rows there are."""
+    at = F.pmod(F.col("hash"), F.lit(bits)) + 1
+    out = np.zeros(bits // 8, np.uint8)
+    for r in hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toLocalIterator():
+        m = np.frombuffer(bytes(r["m"]), np.uint8)
+        lo = (r["k"] - 1) * len(m)
+        out[lo:lo + len(m)] = m[:len(out) - lo]
+    return out
+
+
+def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _bench_prints(batches):
+    for batch in batches:
+        for blk in tb.blocks(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(_prints(_worded(blk)).view(np.int64))], names=["hash"])
+
+
+def _bench_windows(batches):
+    for batch in batches:
+        ids = batch.column(0)
+        for blk in tb.blocks(batch.column(1)):
+            for r, size, hashes, said in _item_windows(_worded(blk), blk.rows):
+                n = len(said)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[blk.lo + r].as_py()] * n, pa.int64()), pa.array([size] * n, pa.int32()),
+                     pa.array(hashes.view(np.int64)), pa.array(said, pa.binary())], names=["item", "size", "hash", "said"])
+
+
+def _doc_windows(shared):
+    """Windows (t, at, size, said) that the bitmaps hold; ``at`` counts words within the text."""
+    def rows(batches):
+        prints, wins, short = shared.value
+        for batch in batches:
+            key = batch.column(0)
+            for blk in tb.blocks(batch.column(1)):
+                worded = _worded(blk)
+                low, starts, ends, woffs, _ = worded
+                for at, hashes, size in _candidates(worded, lambda g: _held(prints, g), short):
+                    at = at[_held(wins, hashes)]
+                    for c in range(0, len(at), CHUNK):
+                        part = at[c:c + CHUNK]
+                        row = np.searchsorted(woffs, part, side="right") - 1
+                        yield pa.RecordBatch.from_arrays(
+                            [key.take(pa.array(row + blk.lo)), pa.array(part - woffs[row], pa.int64()),
+                             pa.array(np.full(len(part), size), pa.int32()),
+                             pa.array([_said(low.data, starts, ends, int(x), size) for x in part], pa.binary())],
+                            names=["t", "at", "size", "said"])
+
+    return rows
+
+
+def _word_counts(batches):
+    for batch in batches:
+        for blk in tb.blocks(batch.column(3)):
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i).slice(blk.lo, blk.rows) for i in range(3)],
+                 pa.array(np.diff(_worded(blk)[3]), pa.int64())], names=["doc_id", "t", "salt", "n_words"])
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _text_key(text_col: str):
+    """128 bits of a text: the hits of a document depend on nothing else."""
+    return F.unhex(F.md5(F.col(text_col)))
+
+
+def joined_hits(docs: DataFrame, items: DataFrame, text_col: str, bits: int) -> DataFrame:
+    """(t, n_hit, items) of every text that holds a window of an item, for a benchmark of any size."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "winnowing")
+    wins = scratch.keep(map_arrow(items, _bench_windows, "item long, size int, hash long, said binary"), "windows")
+    short = sorted(r[0] for r in wins.where(F.col("size") < SPAN).select("size").distinct().collect())
+    shared = spark.sparkContext.broadcast((_bitmap(map_arrow(items, _bench_prints, "hash long"), bits),
+                                           _bitmap(wins, bits), short))
+    texts = docs.select(_text_key(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
+    cand = map_arrow(texts, _doc_windows(shared), "t binary, at long, size int, said binary").distinct()
+    owners = _salted(wins.groupBy("said").agg(F.collect_set("item").alias("items")))
+    met = cand.withColumn("salt", F.pmod(F.xxhash64("t", "at"), F.lit(SALTS)).cast("int")).join(owners, ["said", "salt"])
+    before = F.max(F.col("at") + F.col("size")).over(
+        Window.partitionBy("t").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1))
+    end = F.col("at") + F.col("size")
+    met = met.select("t", "items", F.greatest(F.lit(0), end - F.greatest("at", F.coalesce(before, F.lit(0)))).alias("new"))
+    return scratch.keep(met.groupBy("t").agg(
+        F.sum("new").cast("long").alias("n_hit"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "hits")
 
 
 def _verdicts(shared):
@@ -176,77 +300,54 @@ def _verdicts(shared):
     return rows
 
 
-def _spans(shared):
-    """Per row: its id, a hash of its text, its words, [first, last] of each hit span, its items."""
-    def rows(batches):
-        for batch in batches:
-            for blk in tb.blocks(batch.column(2)):
-                woffs, mark, items = find(blk, shared.value)
-                spans = []
-                for r in range(blk.rows):
-                    m = np.flatnonzero(mark[woffs[r]:woffs[r + 1]])
-                    cut = np.flatnonzero(np.diff(m) > 1)
-                    first, last = (m[np.r_[0, cut + 1]], m[np.r_[cut, len(m) - 1]]) if len(m) else (m, m)
-                    spans.append(np.stack([first, last], 1).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(blk.lo, blk.rows), batch.column(1).slice(blk.lo, blk.rows),
-                     pa.array(np.diff(woffs), pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                     pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
-                    names=["doc_id", "h", "n_words", "spans", "items"])
-
-    return rows
-
-
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text",
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of all documents."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(i) for i in index_blocks(bench, item_col, item_text_col, block_words)]
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"),
+    items = _items(bench, item_col, item_text_col)
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    if _small(items, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(_index(items))
+        return map_arrow(docs.select(doc_id, F.col(text_col).alias("text")), _verdicts(shared), _SCHEMA)
+    hits = joined_hits(docs, items, text_col, filter_bits)
+    # copies of a text are spread by the partition that read them
+    src = docs.select(doc_id, _text_key(text_col).alias("t"), (F.spark_partition_id() % SALTS).alias("salt"),
                       F.col(text_col).alias("text"))
-    if len(shared) == 1:
-        return map_arrow(src.select("doc_id", "text"), _verdicts(shared[0]), _SCHEMA)
-    schema = "doc_id long, h long, n_words long, spans array<array<bigint>>, items array<bigint>"
-    parts = [map_arrow(src, _spans(b), schema) for b in shared]
-    hits = parts[0].select("doc_id", "h", "spans", "items")
-    for p in parts[1:]:
-        hits = hits.unionByName(p.select("doc_id", "h", "spans", "items"))
-    # equal rows give equal results, so repeated rows meet once; a group has a row a block at most
-    hits = hits.where("size(spans) > 0").distinct().groupBy("doc_id", "h").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    hits = hits.select(
-        F.col("doc_id").alias("i"), F.col("h").alias("t"),
-        F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s[0], s[1]))))).alias("n_hit"),
-        F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"))
-    out = parts[0].select("doc_id", "h", "n_words").join(
-        hits, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("t")), "left")
+    counts = map_arrow(src, _word_counts, "doc_id long, t binary, salt int, n_words long")
+    out = counts.join(_salted(hits), ["t", "salt"], "left")
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(ids, F.lit("")), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                    item_text_col: str = "text", block_words: int = BLOCK_WORDS,
+                    filter_bits: int = FILTER_BITS) -> DataFrame:
     """The documents without a hit, all columns as they are."""
+    items = _items(bench, item_col, item_text_col)
+    if not _small(items, block_words):
+        t, salt = free_name(docs, "t"), free_name(docs, "salt")
+        hits = _salted(joined_hits(docs, items, text_col, filter_bits)).select(F.col("t").alias(t), F.col("salt").alias(salt))
+        marked = docs.withColumn(t, _text_key(text_col)).withColumn(salt, F.spark_partition_id() % SALTS)
+        return marked.join(hits, [t, salt], "left_anti").select(*[f"`{c}`" for c in docs.columns])
     at = docs.columns.index(text_col)
-    sc = docs.sparkSession.sparkContext
-    for index in index_blocks(bench, "item_id", "text", BLOCK_WORDS):
-        shared = sc.broadcast(index)
-
-        def rows(batches, shared=shared):
-            for batch in batches:
-                keep = []
-                for blk in tb.blocks(batch.column(at)):
-                    woffs, mark, _ = find(blk, shared.value)
-                    cover = np.concatenate([[0], np.cumsum(mark)])
-                    keep.append(cover[woffs[1:]] == cover[woffs[:-1]])
-                yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
-
-        docs = map_arrow(docs, rows, docs.schema)
-    return docs
+    shared = docs.sparkSession.sparkContext.broadcast(_index(items))
+
+    def rows(batches):
+        for batch in batches:
+            keep = []
+            for blk in tb.blocks(batch.column(at)):
+                woffs, mark, _ = find(blk, shared.value)
+                cover = np.concatenate([[0], np.cumsum(mark)])
+                keep.append(cover[woffs[1:]] == cover[woffs[:-1]])
+            yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
+
+    # Arrow functions look their columns up by name, where a dot would mean a field
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return map_arrow(plain, rows, plain.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -262,8 +262,21 @@ def test_benchmark_passages(spark, block):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = Counter(tuple(r) for r in winnowing.decontaminate(d, b, block_words=block).collect())
     assert got == Counter((i, *brute_hits(t, items)) for i, t in docs)
-    left = [r["doc_id"] for r in winnowing.clean_documents(d, b).collect()]
-    assert sorted(left) == [2, 4, 5, 6, 6]
+    clash = d.withColumn("t", F.lit(1)).withColumn("salt", F.lit(2)).withColumn("a b.c", F.lit(3))
+    left = winnowing.clean_documents(clash, b, block_words=block)
+    assert left.columns == clash.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 4, 5, 6, 6]
+
+
+def test_joined_benchmark_equals_broadcast_one(spark):
+    d, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    few_bits = 1 << 15  # many windows pass a full bitmap, none may stay
+    a, c = (winnowing.decontaminate(d, b, block_words=n, filter_bits=few_bits) for n in (winnowing.BLOCK_WORDS, 0))
+    assert Counter(map(tuple, a.collect())) == Counter(map(tuple, c.collect()))
+    assert a.where("contaminated").count() > 0
+    # a benchmark as large as the documents, in which every document finds itself
+    own = d.select(F.col("doc_id").alias("item_id"), "text")
+    got = winnowing.decontaminate(d, own, block_words=0)
+    assert got.where("n_words > 0 and (n_hit < n_words or n_items = 0)").count() == 0
 
 
 # ---- language
