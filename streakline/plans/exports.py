@@ -1,8 +1,7 @@
-"""Sinks: versioned snapshot outputs and report exports (SK-1, SK-3..6).
+"""Sinks: versioned snapshots of the scoring outputs, fact snapshots by day, CSV rows (SK-1, SK-4, SK-6).
 
 Nothing passes through the driver: every export is a DataFrame written by the
-executors (parquet, JSON lines, CSV, text), partitioned by event where the
-reference produced one document per event.
+executors. The JSON and Markdown reports are in ``report.py``.
 """
 
 from __future__ import annotations
@@ -12,23 +11,34 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import event as E
+from ..versions import VersionedTables
 
 
-def write_outputs(outputs: dict[str, DataFrame], base: str, run_id: str) -> dict[str, str]:
-    """SK-1: each output to ``base/<name>/run=<run_id>`` — a new version, never over the path being read."""
-    paths = {}
-    for name, df in outputs.items():
-        path = f"{base.rstrip('/')}/{name}/run={run_id}"
-        df.write.mode("overwrite").parquet(path)
-        paths[name] = path
-    return paths
+def publish(store: VersionedTables, sources: dict[str, str], columns: dict[str, list[str]]) -> tuple[int, list[str]]:
+    """SK-1: replace the store's tables by ``sources`` (name → parquet path), with the named columns in order.
 
+    A source that is not there is skipped and its table stays as the last
+    version has it. All tables change together: readers see the old version until
+    every table is written. Returns the new version and the skipped names.
+    """
+    spark, frames, skipped = store.spark, {}, []
+    for name, path in sources.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            frames[name] = spark.read.parquet(path).select(*columns[name])
+        else:
+            skipped.append(name)
+    for name in columns:
+        if name not in frames and (old := store.read(name)) is not None:
+            frames[name] = old
+    return store.commit(frames), skipped
 
-def append_snapshot(df: DataFrame, path: str, snapshot_ts: str) -> None:
-    """SK-6: append a fact snapshot stamped with ``snapshot_at``, partitioned by day."""
-    (df.withColumn("snapshot_at", F.to_timestamp(F.lit(snapshot_ts)))
-     .withColumn("snapshot_date", F.to_date(F.lit(snapshot_ts)))
-     .write.mode("append").partitionBy("snapshot_date").parquet(path))
+
+def append_facts(df: DataFrame, path: str, snapshot_ts: str) -> None:
+    """SK-6: a fact snapshot stamped ``snapshot_at``, partitioned by day; written again, it replaces its day."""
+    at = F.to_timestamp(F.lit(snapshot_ts))
+    (df.withColumn("snapshot_at", at).withColumn("snapshot_date", F.to_date(at))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path))
 
 
 def report_csv_rows(g) -> DataFrame:
@@ -42,30 +52,3 @@ def report_csv_rows(g) -> DataFrame:
                     F.coalesce(F.col("total_points"), F.lit(0)).cast("long").alias("total_points"),
                     "completed_count", "completion_pct",
                     F.coalesce(F.col("hints_used"), F.lit(0)).cast("long").alias("hints_used"))
-
-
-def report_markdown_lines(g) -> DataFrame:
-    """SK-5: Markdown report as ordered (event_id, section, line_no, line) rows."""
-    title = g.competitions.select("event_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("line_no"),
-                                  F.concat(F.lit("# Event report: "), F.col("title")).alias("line"))
-    board = g.leaderboard.select(
-        "event_id", F.lit(1).alias("section"), F.col("rank").cast("long").alias("line_no"),
-        F.format_string("%d. %s — %d pts", "rank", "display_name", "total_points").alias("line"))
-    blocks = E.worst_blockers(g.blockers(), 10).select(
-        "event_id", F.lit(2).alias("section"), F.col("position").alias("line_no"),
-        F.format_string("- %s (%s): %d/%d teams, %d failed attempts", "task_title", "quest_title", "solved_teams",
-                        "total_teams", "failed_attempts").alias("line"))
-    return title.unionByName(board).unionByName(blocks)
-
-
-def write_markdown(lines: DataFrame, path: str) -> None:
-    """Write one text file set per event, lines in section / line order."""
-    (lines.repartition("event_id").sortWithinPartitions("event_id", "section", "line_no")
-     .select("event_id", "line").write.mode("overwrite").partitionBy("event_id").text(path))
-
-
-def write_json_sections(g, path: str) -> None:
-    """SK-3: report sections as JSON lines, one directory per section."""
-    for name, df in {"leaderboard": g.leaderboard, "completion_matrix": g.completion_matrix(),
-                     "blockers": g.blockers(), "first_solves": g.first_solves(), "roster": g.roster()}.items():
-        df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")

@@ -356,13 +356,6 @@ def q_report_csv(spark, sf_dir):
     return report_csv_rows(_g(spark, sf_dir))
 
 
-@register("ev_report_markdown_lines")
-def q_report_md(spark, sf_dir):
-    """SK-5: the Markdown export's lines (text rendering; rows-only check)."""
-    from .exports import report_markdown_lines
-    return report_markdown_lines(_g(spark, sf_dir))
-
-
 @register("ev_revealed_hints", _ev() + """SELECT DISTINCT l.event_id, l.team_id, l.source_id AS hint_id, l.task_id,
   'Hint for ' || k.task_title AS body
 FROM ledger l JOIN tasks k ON k.task_id = l.task_id

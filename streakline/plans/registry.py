@@ -38,3 +38,4 @@ def load_all() -> None:
     from . import queries_snapshots  # noqa: F401
     from . import queries_packs  # noqa: F401
     from . import queries_bulk  # noqa: F401
+    from . import queries_report  # noqa: F401
