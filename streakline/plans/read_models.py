@@ -97,9 +97,12 @@ def capability_heatmap(g) -> DataFrame:
     """CO-26: for every user that tried a task the number of tasks passed, a column a quest."""
     catalog = g.tasks.join(g.quests.select("quest_id", "quest_slug"), "quest_id")
     columns = catalog_columns(catalog, "quest_slug")
-    passed = g.attempts.join(catalog.select("task_id", "quest_slug"), "task_id").groupBy(
-        "event_id", "user_id", "task_id", "quest_slug").agg(F.max((F.col("status") == "passed").cast("int")).alias("p"))
-    wide = passed.groupBy("event_id", "user_id").pivot("quest_slug", columns).agg(F.sum("p"))
+    # tasks not passed count nothing: they are one row a user, so that groups are few beside the attempts
+    done = F.col("status") == "passed"
+    tried = g.attempts.join(catalog.select("task_id", "quest_slug"), "task_id").select(
+        "event_id", "user_id", F.when(done, F.col("task_id")).alias("task_id"),
+        F.when(done, F.col("quest_slug")).alias("quest_slug")).distinct()
+    wide = tried.groupBy("event_id", "user_id").pivot("quest_slug", columns).agg(F.count("task_id"))
     return wide.select("event_id", "user_id", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in columns])
 
 
