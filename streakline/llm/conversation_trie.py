@@ -200,7 +200,9 @@ def _chain(batches) -> Iterator[pa.RecordBatch]:
 
 def chains(sequences: DataFrame) -> DataFrame:
     """Node and parent of every (conversation, depth); the root has the key of 16 zero bytes."""
-    s = sequences.select("conv_id", "depth", "turn_hash", "chars").repartition("conv_id").sortWithinPartitions(
+    # By a hash: partitioned by the column itself, a union of parts that are joined by it counts as partitioned
+    # already, and adaptive execution then coalesces each part on its own, which tears conversations apart.
+    s = sequences.select("conv_id", "depth", "turn_hash", "chars").repartition(F.xxhash64("conv_id")).sortWithinPartitions(
         "conv_id", "depth")
     return map_arrow(s, _chain, _CHAIN)
 

@@ -116,3 +116,22 @@ def test_spilling_queue_equals_heap(limit):
         assert queue.pop() == heapq.heappop(heap)
     assert queue.peek() is None and len(queue.runs) <= 33
     assert (queue.spilled > 0) == (limit < 1000)
+
+
+@pytest.mark.parametrize("broadcast", ["64k", "128k", "256k", "512k"])
+def test_heads_and_own_turns_meet(spark, tmp_path, broadcast):
+    names = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.shuffle.partitions": "12"}
+    old = {k: spark.conf.get(k) for k in names}
+    spark.range(25_000).selectExpr("id AS conv_id", "explode(sequence(0, 5)) AS i").selectExpr(
+        "conv_id", "CAST(i AS long) AS i", "unhex(md5(concat(conv_id, ':', i))) AS turn_hash", "1L AS chars").write.parquet(str(tmp_path / "t"))
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        convs, sequences = T.with_shared_heads(spark.read.parquet(str(tmp_path / "t")))
+        T.chains(sequences).write.parquet(str(tmp_path / "c"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    chain = spark.read.parquet(str(tmp_path / "c"))
+    assert chain.count() == 150_000
+    assert chain.where(f"depth > 1 and parent = unhex('{T.ROOT.hex()}')").count() == 0
