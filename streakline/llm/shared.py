@@ -7,12 +7,14 @@ readers. Every run writes under a folder of its own.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from streakline.session import shared_path
@@ -61,7 +63,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def give_back() -> None:
+    """Return memory that nothing uses to the system: Python workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(rows: Callable) -> Callable:
+    """``rows``, with its memory given back when a task ends."""
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+    return run
+
+
 def map_arrow(df: DataFrame, rows: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package wherever they run."""
+    """``mapInArrow`` whose workers can import this package wherever they run, and keep no memory between tasks."""
     ship(df.sparkSession)
-    return df.mapInArrow(rows, schema)
+    return df.mapInArrow(lean(rows), schema)

@@ -134,8 +134,13 @@ EVIDENCE_CELL_CHARS = 200
 EVIDENCE_TOTAL_CHARS = 2000
 
 
-def evidence(samples: DataFrame, order: list[str]) -> DataFrame:
-    """DQ-8: (rule_id, position, evidence) of every rule's first violating rows, for all rules at once.
+def evidence(samples: DataFrame, order: list[str] | Column) -> DataFrame:
+    """DQ-8: evidence of all rules at once, or of one condition.
+
+    With a condition as ``order``: the first rows of ``samples`` that it holds for,
+    in the order of their cells, all columns as text, under the same limits.
+
+    Otherwise (rule_id, position, evidence) of every rule's first violating rows, for all rules at once.
 
     ``samples``: rule_id, the columns ``order`` and ``cells`` (array of name and
     value). At most ``EVIDENCE_ROWS`` rows a rule, values cut to
@@ -143,6 +148,8 @@ def evidence(samples: DataFrame, order: list[str]) -> DataFrame:
     to at most ``EVIDENCE_TOTAL_CHARS``. The first rows of a rule are picked before
     the shuffle, so a rule with very many of them sends few.
     """
+    if isinstance(order, Column):
+        return _evidence_rows(samples, order)
     w = Window.partitionBy("rule_id").orderBy(*order)
     first = samples.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= EVIDENCE_ROWS)
     cells = F.transform("cells", lambda c: F.struct(
@@ -156,6 +163,14 @@ def evidence(samples: DataFrame, order: list[str]) -> DataFrame:
         "rule_id", F.col("position").cast("long").alias("position"), text.alias("evidence"))
 
 
+def _evidence_rows(df: DataFrame, where: Column) -> DataFrame:
+    cells = [F.substring(F.col(f"`{c}`").cast("string"), 1, EVIDENCE_CELL_CHARS).alias(c) for c in df.columns]
+    cut = df.filter(where).orderBy(*[f"`{c}`" for c in df.columns]).limit(EVIDENCE_ROWS).select(*cells)
+    size = sum((F.lit(len(c)) + F.coalesce(F.length(f"`{c}`"), F.lit(len("None")))) for c in df.columns)
+    w = Window.orderBy(*[f"`{c}`" for c in df.columns]).rowsBetween(Window.unboundedPreceding, 0)  # a few rows
+    return cut.withColumn("_run", F.sum(size).over(w)).filter(F.col("_run") <= EVIDENCE_TOTAL_CHARS).drop("_run")
+
+
 def violating(table: DataFrame, rule_id: str, where: str, columns: dict[str, str], order: str) -> DataFrame:
     """Rows of ``table`` that break a rule, as :func:`evidence` takes them; ``columns``: name and SQL expression."""
     cells = F.array(*[F.struct(F.lit(n).alias("name"), F.expr(e).cast("string").alias("value")) for n, e in columns.items()])
