@@ -8,6 +8,7 @@ from streakline.plans import extras as XT
 from streakline.plans import read_models as RM
 from streakline.plans.event_game import EventGame
 from streakline.sources import standins as S
+from streakline.sources.tables import Tables
 
 OUT = "array<struct<validator_id:int,status:string>>"
 
@@ -71,3 +72,55 @@ def test_heatmap_groups_passed_tasks_only(spark, monkeypatch):
     # what is grouped by user: passed tasks, and a row a user for all others (before: a row each task tried)
     cols, grouped = seen[-1]
     assert cols == ("event_id", "user_id") and grouped.where("user_id = 'v'").count() == 1
+
+
+def _sorts_of_lines(spark, df):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    return [x for x in plan.splitlines() if "Sort [l_orderkey" in x]
+
+
+def test_lines_are_sorted_once_and_narrow(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr("streakline.plans.event_game.written", lambda df, name: plans.append(df) or df)
+    EventGame(spark, "/root/testdata/sf0.001").attempts  # noqa: B018
+    sorts = _sorts_of_lines(spark, lambda: plans[0].select("*"))
+    # before: sorted for the join, then again with users, workspaces and outcome arrays for the window
+    assert len(sorts) == 1 and "attempt_id" in sorts[0]
+    text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join Inner") < text.index("Window [")
+
+
+def test_outcomes_count_over_all_rows_of_an_attempt(spark, tmp_path):
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    # order 1 comes twice and customer 7 twice; lines of one id differ, one id comes of different null parts
+    table("nation", [(3, "N", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    table("customer", [(7, "c", 3, 1.0, "BUILDING"), (7, "c", 3, 2.0, "MACHINERY"), (8, "d", 3, 1.0, None), (9, "e", None, 1.0, "X")],
+          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    orders = [(1, 7), (1, 8), (2, 8), (3, 9), (4, None), (None, 8)]
+    table("orders", orders, "o_orderkey long, o_custkey long")
+    q, bad = float(S.NO_RESULT_QUANTITY), S.ERROR_TAX
+    lines = [(1, 1, 5, 5, q + 1, S.PASS_DISCOUNT, bad + 1, "A"), (1, 1, 5, 5, q + 1, 0.0, bad, "R"), (1, 2, 5, 5, q, 0.0, bad, "A"),
+             (1, None, 2, 6, q + 1, S.PASS_DISCOUNT, bad + 1, "A"), (1, 2, None, 6, q + 1, -1.0, bad + 1, "A"),
+             (2, 1, 5, None, q + 1, S.PASS_DISCOUNT, bad + 1, "A"), (2, 1, 5, None, None, None, None, None),
+             (3, 1, 1, 1, q + 1, 0.0, bad, "A"), (None, 1, 1, 1, q + 1, 0.0, bad, "A"), (4, 1, 1, 1, q + 1, 0.0, bad, "A")]
+    table("lineitem", [(*x, None) for x in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, "
+          "l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp")
+    t = Tables(spark, str(tmp_path))
+    got = S.attempts(t)
+    # the plain way: every joined row's outcomes, a row each
+    r = S.validation_results(got.drop("status"))
+    want = {x.attempt_id: (x.v, x.p) for x in r.groupBy("attempt_id").agg(
+        F.count(F.lit(1)).alias("v"), F.count_if(F.col("status") == "passed").alias("p")).collect()}
+    status = {x.attempt_id: x.status for x in E.attempt_status(got.drop("status").select("attempt_id").distinct(), r).collect()}
+    rows = got.collect()
+    assert len(rows) == 5 * 3 + 2 and {x.attempt_id for x in rows} == {"1-1-5-5", "1-2-5-5", "1-2-6", "2-1-5"}
+    for x in rows:
+        assert (x.validations, x.validation_passes) == want.get(x.attempt_id, (0, 0))
+        assert x.status == status[x.attempt_id]
